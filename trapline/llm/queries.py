@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import bpe, substring_dedup, token_files
 
-QUERIES = {"op2_substring_dedup": substring_dedup.op2_substring_dedup}
+QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op6_token_files": token_files.op6_token_files,
+    "op7_bpe": bpe.op7_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -78,3 +78,9 @@ def unbits(blob: bytes, n: int) -> np.ndarray:
 def strings(buf: np.ndarray, at: np.ndarray, kind=pa.large_binary()) -> pa.Array:
     """An Arrow array over a byte buffer and its n + 1 offsets."""
     return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
+
+
+def cut_to(df: DataFrame, path: str) -> DataFrame:
+    """Writes the rows as a table in the shared folder and returns the table."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
