@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, substring_dedup, token_files
+from . import bpe, simhash, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe": bpe.op7_bpe,
 }

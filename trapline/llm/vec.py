@@ -109,10 +109,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def mask_of(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """True where some half-open interval covers the position."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, ends, -1)
-    return np.cumsum(d[:-1]) > 0
+    return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
