@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, substring_dedup, suffix_dedup, token_files
+from . import bpe, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe": bpe.op7_bpe,
+    "op8_sharding": sharding.op8_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_token_counts": token_counts.OP5_SQL}
