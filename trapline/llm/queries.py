@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe, decontaminate, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op5_token_counts": token_counts.OP5_SQL}

@@ -82,12 +82,16 @@ def blocks(buf: np.ndarray, at: np.ndarray, size: int = BLOCK) -> Iterator[tuple
         i = min(j, n)
 
 
-def word_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the first word of each text (n + 1)."""
+#: Separators under which words are runs of ASCII letters, digits and bytes beyond ASCII.
+PLAIN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(buf: np.ndarray, at: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, `[^\\x20\\x09-\\x0D]+` by default, and the first word of each text (n + 1)."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(at), np.int64)
-    word = ~_SEP[buf]
+    word = ~sep[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[at] = True
     first = word.copy()
