@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe, decontaminate, embedding_dedup, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op5_token_counts": token_counts.OP5_SQL}
