@@ -53,11 +53,19 @@ def parts_for(df: DataFrame, each: int, least: int = 1) -> int:
     return max(least, math.ceil(plan_bytes(df) / each))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, n: int, carry: list[str] | None = None) -> DataFrame:
     """(chunk, id, th, text): documents dealt to n chunks by a hash of id and text, which no
-    source or group of copies with different ids can make uneven."""
+    source or group of copies with different ids can make uneven. carry: columns that go along, as a struct."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.pmod(F.xxhash64(i, t), F.lit(n)).cast("int").alias("chunk"), i.alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]).alias("carry")] if carry else []
+    return docs.select(F.pmod(F.xxhash64(i, t), F.lit(n)).cast("int").alias("chunk"), i.alias("id"), F.xxhash64(t).alias("th"), t.alias("text"), *more)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -65,16 +65,17 @@ def fingerprints_of(buf: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id long, fp long): one row per document."""
+    """(id long, th long, fp long): one row per document; th is a hash of its text."""
 
     def f(batches):
         for batch in batches:
             buf, at = vec.text_buffer(batch["text"])
             for i, j in vec.blocks(buf, at, 1 << 18):
                 fp = fingerprints_of(buf[at[i] : at[j]], at[i : j + 1] - at[i], words)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["th"].slice(i, j - i), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(f, "id long, fp long")
+    t = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("text")).mapInArrow(f, "id long, th long, fp long")
 
 
 def flips(bits: int, distance: int) -> np.ndarray:
@@ -105,7 +106,7 @@ def list_links(members: np.ndarray, distance: int, free: np.ndarray) -> tuple[np
 
 
 def near_duplicates(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """(id, fp, component) of (id, fp): component is the least id that links of at most `distance` bits reach."""
+    """fps (id, fp and any others) with component added: the least id that links of at most `distance` bits reach."""
     fps = R.cut(fps)
     choices = list(combinations(range(8), 8 - distance))
     masks = [sum(0xFF << 8 * p for p in c) for c in choices]
@@ -135,7 +136,7 @@ def near_duplicates(fps: DataFrame, distance: int = 2) -> DataFrame:
     of = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or component is not null").withColumn("c", F.coalesce("component", "fp"))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
     known = of.select("fp", "c").join(least, "c").select("fp", "component_id")
-    return fps.join(known, "fp", "left").select("id", "fp", F.coalesce("component_id", "id").alias("component"))
+    return fps.join(known, "fp", "left").select(*fps.columns, F.coalesce("component_id", "id").alias("component"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -293,7 +293,7 @@ def _merge(length: int):
     return f
 
 
-def _cut(length: int, parts: int):
+def _cut(length: int, parts: int, characters: bool):
     def f(table: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(table, length, parts)
         less = c.answered(answers, "less")
@@ -307,6 +307,9 @@ def _cut(length: int, parts: int):
         r, k = np.nonzero(bits)
         single = c.start[rest][r] + k
         gone = vec.mask_of(np.concatenate((c.start[whole], single)), np.concatenate((c.end[whole] - 1, single)) + length, len(c.buf))
+        if characters and len(gone):
+            char = np.cumsum((c.buf & 0xC0) != 0x80)
+            gone = (np.bincount(char, weights=gone) > 0)[char]
         upto = np.concatenate(([0], np.cumsum(gone)))[c.at]
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -319,23 +322,24 @@ def _cut(length: int, parts: int):
         e = np.flatnonzero(last) + 1
         doc = np.searchsorted(c.at, s, "right") - 1
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(s, c.at), pa.int32()), pa.StructArray.from_arrays([pa.array(s - c.at[doc], pa.int32()), pa.array(e - c.at[doc], pa.int32())], ["start", "end"]))
-        return pa.table({"id": c.table["id"], "n_bytes": pa.array(np.diff(c.at)), "n_removed": pa.array(np.diff(upto), pa.int64()), "spans": spans, "kept": R.strings(c.buf[~gone], c.at - upto).cast(pa.binary())})
+        return pa.table({"id": c.table["id"], "n_bytes": pa.array(np.diff(c.at)), "n_removed": pa.array(np.diff(upto), pa.int64()), "spans": spans, "kept": R.strings(c.buf[~gone], c.at - upto).cast(pa.binary())} | ({"carry": c.table["carry"]} if "carry" in c.table.column_names else {}))
 
     return f
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 2 * R.MB, part_bytes: int = 6 * R.MB) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, spans (byte intervals removed, end exclusive) and kept (the
-    remaining bytes). length: from ANCHOR + 1 to ANCHOR + 63. chunk_bytes and part_bytes are input
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: list[str] | None = None, characters: bool = False, chunk_bytes: int = 2 * R.MB, part_bytes: int = 6 * R.MB) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, spans (byte intervals removed, end exclusive), kept (the
+    remaining bytes) and, if columns are to be carried along, carry (a struct of them). characters: a character of which some bytes go goes whole, so kept is UTF-8. length: from ANCHOR + 1 to ANCHOR + 63. chunk_bytes and part_bytes are input
     bytes for one chunk of text and one range of anchors; they bound a task's memory."""
     if not ANCHOR < length < ANCHOR + 64:
         raise ValueError(f"length must be from {ANCHOR + 1} to {ANCHOR + 63}")
     chunks, parts = R.parts_for(docs, chunk_bytes, 48), R.parts_for(docs, part_bytes, 24)
-    c = R.chunked(docs, id_col, text_col, chunks)
+    c = R.chunked(docs, id_col, text_col, chunks, carry)
+    out = OUT + f", carry {c.schema['carry'].dataType.simpleString()}" if carry else OUT
     answers = c.groupBy("chunk").applyInArrow(_entries(length, parts), ENTRY).groupBy("part").applyInArrow(_resolve, "part int, chunk int, less binary, send binary")
     shards = c.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_shards(length, parts), SHARD)
     merged = shards.groupBy("part").applyInArrow(_merge(length), "part int, chunk int, less binary, entry binary, gone binary")
-    return c.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_cut(length, parts), OUT)
+    return c.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_cut(length, parts, characters), out)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

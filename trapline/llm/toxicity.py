@@ -257,18 +257,17 @@ def _fit(spark, model: Model, sample: DataFrame, size: dict) -> tuple[float, flo
     return tuple(beta.tolist())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those named) with toxicity, a score from 0 to 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None, into: str = "toxicity") -> DataFrame:
+    """docs' columns (or those named) with a score from 0 to 1 added; `into` must be a new name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)], F.col(f"`{text_col}`").cast("string").alias(R.fresh(docs, "scored_text")))
 
     def f(batches):
         for batch in batches:
-            mean, peak = held.value.features(batch["__text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(mean, peak))], [*batch.schema.names[:-1], "toxicity"])
+            mean, peak = held.value.features(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(mean, peak))], [*batch.schema.names[:-1], into])
 
-
-    return rows.mapInArrow(f, StructType([*rows.schema.fields[:-1], StructField("toxicity", DoubleType())]))
+    return rows.mapInArrow(f, StructType([*rows.schema.fields[:-1], StructField(into, DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
