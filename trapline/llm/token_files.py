@@ -10,7 +10,7 @@ payload is uint8 null-id flag, int64 id, uint8 width (2 or 4), then the token id
 byte only closes the record. Shards are Spark's own output files (an executor that is lost
 leaves no half-written shard), numbered in the order of the ids. `index/` beside `data/` is a
 Parquet table: file, seq, id, offset, length, n_tokens, start; with it any set of records can
-be read in any order.
+be read in any order. `shards/` has one row per shard: the ids of all documents before it.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows repeated
 with one id are records of their own, ordered by the text's hash; an empty table gives an
@@ -106,15 +106,13 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     # the text writer writes a string's bytes as they are, then the closing byte
     dealt.select("id", "text").mapInArrow(f, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(f"{path}/data")
     spark = docs.sparkSession
-    found = _files(spark, path).mapInArrow(_scan, INDEX)
-    R.cut_to(found, f"{path}/found")
-    found = spark.read.schema(INDEX).parquet(f"{path}/found")
+    found = R.cut_to(_files(spark, path).mapInArrow(_scan, INDEX), f"{path}/found")
     # one row per shard: bounded by the input size over shard_bytes
     shards = sorted(found.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
-    base = np.concatenate(([0], np.cumsum([n for _, n in shards])))[:-1].tolist() if shards else []
-    bases = spark.createDataFrame([(f, int(b)) for (f, _), b in zip(shards, base, strict=True)], "file string, base long")
-    index = found.join(bases, "file").select("file", "seq", "id", "offset", "length", "n_tokens", (F.col("base") + F.col("start_in_file")).alias("start"))
-    index.write.parquet(f"{path}/index")
+    base = np.concatenate(([0], np.cumsum([n for _, n in shards], dtype=np.int64)))[:-1].tolist()
+    spark.createDataFrame([(f, b) for (f, _), b in zip(shards, base, strict=True)], "file string, base long").coalesce(1).write.parquet(f"{path}/shards")
+    bases = spark.read.parquet(f"{path}/shards")
+    found.join(bases, "file").select("file", "seq", "id", "offset", "length", "n_tokens", (F.col("base") + F.col("start_in_file")).alias("start")).write.parquet(f"{path}/index")
     R.drop(spark, f"{path}/found")
     return spark.read.parquet(f"{path}/index")
 
@@ -123,35 +121,64 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
+_SCHEMA = pa.schema([("file", pa.string()), ("seq", pa.int32()), *((c, pa.int64()) for c in ("id", "offset", "length", "n_tokens", "start_in_file"))])
+
+
 def _scan(batches):
     """Index rows of whole shards, every checksum read."""
     for batch in batches:
         for file, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
-            data, at, seq, start, rows = memoryview(data.as_buffer()), 0, 0, 0, []
+            data, at, start, rows = memoryview(data.as_buffer()), 0, 0, []
             while at < len(data):
                 doc_id, ids, after = unframe(data, at)
-                rows.append((file, seq, doc_id, at, after - at, len(ids), start))
-                at, seq, start = after, seq + 1, start + len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.int64()] * 5), strict=True)], names=[c.split()[0] for c in INDEX.split(", ")]) if rows else pa.RecordBatch.from_pylist([], _SCHEMA)
+                rows.append((file, len(rows), doc_id, at, after - at, len(ids), start))
+                at, start = after, start + len(ids)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-_SCHEMA = pa.schema([("file", pa.string()), ("seq", pa.int32()), *((c, pa.int64()) for c in ("id", "offset", "length", "n_tokens", "start_in_file"))])
+RECORD = "file string, seq int, id long, start_in_file long, n_tokens long, ids array<int>"
+
 
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    file, seq, doc_id, start, ids = zip(*rows, strict=True)
+    n = [len(x) for x in ids]
+    return pa.RecordBatch.from_arrays([pa.array(file), pa.array(seq, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))], [c.split()[0] for c in RECORD.split(", ")])
 
-def read(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
-    """(file, seq, id, start, n_tokens, ids) of the records that `index` names (all by default): each
-    shard is opened once and the wanted records are cut out by offset, every checksum read."""
-    wanted = (spark.read.parquet(f"{path}/index") if index is None else index).groupBy("file").agg(F.collect_list(F.struct("seq", "offset", "start")).alias("wanted"))
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, id, start, n_tokens, ids) of all records: every shard is read through once, every checksum too."""
+
+    def f(batches):
+        for batch in batches:
+            for file, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
+                data, at, seq, start, rows, held = memoryview(data.as_buffer()), 0, 0, 0, [], 0
+                while at < len(data):
+                    doc_id, ids, at = unframe(data, at)
+                    rows.append((file, seq, doc_id, start, ids))
+                    seq, start, held = seq + 1, start + len(ids), held + len(ids)
+                    if held > 1 << 19:
+                        yield _records(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _records(rows)
+
+    out = _files(spark, path).mapInArrow(f, RECORD).join(spark.read.parquet(f"{path}/shards"), "file")
+    return out.select("file", "seq", "id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+
+
+def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The same of some rows of the index, in any order: a shard is opened once and its wanted records cut out by offset."""
+    asked = wanted.groupBy("file").agg(F.collect_list(F.struct("seq", "offset", "start")).alias("asked"))
 
     def f(batches):
         for batch in batches:
-            for file, data, asked in zip(batch["file"].to_pylist(), batch["content"], batch["wanted"].to_pylist(), strict=True):
+            for file, data, rows in zip(batch["file"].to_pylist(), batch["content"], batch["asked"].to_pylist(), strict=True):
                 data = memoryview(data.as_buffer())
-                for k in range(0, len(asked), 500):
-                    got = [(x, *unframe(data, x["offset"])[:2]) for x in asked[k : k + 500]]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(got)), pa.array([x["seq"] for x, *_ in got], pa.int32()), pa.array([i for _, i, _ in got], pa.int64()), pa.array([x["start"] for x, *_ in got], pa.int64()), pa.array([len(y) for *_, y in got], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(y) for *_, y in got]))), pa.int32()), pa.array(np.concatenate([y for *_, y in got]).astype(np.int32)))], ["file", "seq", "id", "start", "n_tokens", "ids"])
+                for k in range(0, len(rows), 500):
+                    yield _records([(file, x["seq"], doc_id, x["start"], ids) for x in rows[k : k + 500] for doc_id, ids, _ in [unframe(data, x["offset"])]])
 
-    return _files(spark, path).join(wanted, "file").mapInArrow(f, "file string, seq int, id long, start long, n_tokens long, ids array<int>")
+    return _files(spark, path).join(asked, "file").mapInArrow(f, RECORD).withColumnRenamed("start_in_file", "start")
 
 
 def _crc32(batches):
