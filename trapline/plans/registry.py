@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ..streaming.gate import streaming_gate
+from .queries import HYBRID, ORACLE_SQL, QUERIES
+from .scan_sql import scan_sql
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**QUERIES, "streaming_gate": streaming_gate}
+ORACLE_SQL = {**ORACLE_SQL, "streaming_gate": scan_sql(HYBRID) + "SELECT video_id, i, rec AS recording, reason, started FROM t"}
