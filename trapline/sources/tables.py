@@ -12,7 +12,7 @@ SUMMARY = "video_id string, total_frames long, frames_processed long, TP long, F
 def frame_range(df: DataFrame, fps: Column, start_sec: float = 0.0, end_sec: float | None = None, total: Column | None = None) -> DataFrame:
     """Frames of a time range, as a filter that reaches the scan. An unknown total keeps one frame at most."""
     first = F.greatest(F.lit(0).cast("long"), F.rint(F.lit(float(start_sec)) * fps).cast("long"))
-    last = F.coalesce(total, F.lit(0)).cast("long") - 1
+    last = (F.lit(0) if total is None else F.coalesce(total, F.lit(0))).cast("long") - 1
     if end_sec is not None:
         last = F.least(last, F.rint(F.lit(float(end_sec)) * fps).cast("long"))
     return df.where((F.col("i") >= first) & (F.col("i") <= F.greatest(last, first)))
