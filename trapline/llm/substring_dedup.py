@@ -100,9 +100,7 @@ def _cut(window: int, parts: int):
             doc = np.repeat(np.arange(len(a) - 1), np.diff(first))
             ks, ke, kd = s[~gone], e[~gone], doc[~gone]
             lead = np.ones(len(ks), np.int64)
-            lead[np.flatnonzero(np.concatenate(([True], kd[1:] != kd[:-1])))] = 0
-            if not len(ks):
-                lead = lead[:0]
+            lead[np.flatnonzero(np.diff(kd, prepend=-1))] = 0
             n = ke - ks + lead
             end = np.cumsum(n)
             out = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
