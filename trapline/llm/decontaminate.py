@@ -36,8 +36,10 @@ COSINE = 0.35
 STRONG, WEAK = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 5, 0.8
 BLOCK_ITEMS = 256
-#: Words of an item's text that take part in its vector and comparison windows.
+#: Directions beyond one for each item.
 OVERSAMPLE = 32
+#: Passages that are multiplied together.
+PASSAGES = 128
 #: Words of the vocabulary whose sums travel together.
 SHEET = 256
 
@@ -102,9 +104,19 @@ class Space:
         return row, v, value.astype(np.float32), doc, (p - base[doc]) * stride
 
 
+def dense(row: np.ndarray, v: np.ndarray, value: np.ndarray, step: int = PASSAGES):
+    """Sparse rows in dense blocks of `step` rows over the words that occur in them: first row, words, block."""
+    for a in range(0, int(row[-1]) + 1 if len(row) else 0, step):
+        i, j = np.searchsorted(row, [a, a + step])
+        words, at = np.unique(v[i:j], return_inverse=True)
+        block = np.zeros((int(row[j - 1]) + 1 - a, len(words)), np.float32)
+        block[row[i:j] - a, at] = value[i:j]
+        yield a, words, block
+
+
 def times(row: np.ndarray, v: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Sparse rows times a thin matrix."""
-    return np.add.reduceat(value[:, None] * x[v], np.flatnonzero(np.diff(row, prepend=-1)), axis=0) if len(row) else np.zeros((0, x.shape[1]), np.float32)
+    return np.concatenate([np.zeros((0, x.shape[1]), np.float32), *(block @ x[words] for _, words, block in dense(row, v, value))])
 
 
 def _texts(batches, size: int = 1 << 18):
@@ -144,12 +156,8 @@ def _gram(space, x):
         for _, _, h, first in _texts(batches):
             row, v, value, doc, _ = s.rows(h, first)
             n += len(doc)
-            for a in range(0, len(doc), 2000):
-                i, j = np.searchsorted(row, [a, a + 2000])
-                y = times(row[i:j] - a, v[i:j], value[i:j], thin)
-                o = np.argsort(v[i:j], kind="stable")
-                w = v[i:j][o]
-                z[np.unique(w)] += np.add.reduceat(value[i:j][o][:, None] * y[(row[i:j] - a)[o]], np.flatnonzero(np.diff(w, prepend=-1)), axis=0)
+            for _, words, block in dense(row, v, value):
+                z[words] += block.T @ (block @ thin[words])
         sheets = [k for k in range(0, len(z), SHEET) if z[k : k + SHEET].any()]
         yield pa.RecordBatch.from_arrays([pa.array([*[k // SHEET for k in sheets], -1], pa.int32()), pa.array([n] * (len(sheets) + 1), pa.int64()), pa.array([*[z[k : k + SHEET].tobytes() for k in sheets], b""], pa.binary())], ["sheet", "n", "part"])
 
@@ -220,9 +228,8 @@ def _search(space):
         for batch, i, h, first in _texts(batches):
             row, v, value, doc, start = s.rows(h, first)
             found: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(doc), 2000):
-                j, k = np.searchsorted(row, [a, a + 2000])
-                y = times(row[j:k] - a, v[j:k], value[j:k], s.right)
+            for a, own, block in dense(row, v, value):
+                y = block @ s.right[own]
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 for p, item in zip(*np.nonzero(y @ s.latent.T >= COSINE), strict=True):
                     d, words = int(doc[a + p]), s.words[item]
