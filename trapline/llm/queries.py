@@ -16,4 +16,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_token_counts": token_counts.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_token_counts": token_counts.OP5_SQL,
+}

@@ -345,3 +345,19 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+r AS (SELECT rid, doc_id, h, (length(h) // 2)::BIGINT AS n FROM t),
+i AS (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM r WHERE n >= 50),
+s AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM i),
+f AS (SELECT rid, p FROM (SELECT rid, p, doc_id, min(doc_id) OVER (PARTITION BY w) AS first_id FROM s) WHERE doc_id > first_id),
+-- hits whose strings touch or overlap form one removed run
+g AS (SELECT rid, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS k FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM f)),
+x AS (SELECT rid, k, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY rid, k),
+y AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM x GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN y.rid IS NULL THEN h ELSE array_to_string([substr(h, 2 * q[1] + 1, 2 * (q[2] - q[1])) FOR q IN list_zip(list_prepend(0::BIGINT, ends), list_append(starts, n))], '') END)) AS kept_sha256
+FROM r LEFT JOIN y USING (rid)
+"""
