@@ -126,7 +126,8 @@ class Graph:
 
     def _layer(self, n: int, links: int) -> np.ndarray:
         out = np.full((n, links), -1, np.int32)
-        a, first = 0, min(n, 256)
+        # the layer above is inserted first, as searches enter by its nodes
+        a, first = 0, min(n, max(256, len(self.layers[-1]) if self.layers else 0))
         while a < n:
             b = first if not a else min(n, a + min(1024, max(64, a // 4)))
             q = self.x[a:b]
