@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = runtime.cut_to(stage(spark, docs, sf_dir), runtime.scratch(spark, f"pipeline-{k}-{name}"))
+        path = runtime.scratch(spark, f"pipeline-{k}-{name}")
+        docs = runtime.cut_to(stage(spark, docs, sf_dir), path)
+        if before:
+            runtime.drop(spark, before)
+        before = path
     return docs

@@ -199,6 +199,7 @@ def encoder(path: str, pattern: str) -> tuple[Ranks, Encoder]:
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per document: id, ids (the tokens of its whole text) and decoded (the bytes of those ids).
     ranks: a rank file that every executor has (part of an installed package)."""
+    R.short_batches(docs.sparkSession)
     path, pat = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def f(batches):
@@ -211,6 +212,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = rank.decode(ids)
                 ends = np.concatenate(([0], np.cumsum(rank.at[ids.astype(np.int64) + 1] - rank.at[ids])))[upto]
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))), R.strings(raw, ends).cast(pa.binary())], ["id", "ids", "decoded"])
+        R.trim()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(f, "id long, ids array<int>, decoded binary")

@@ -124,6 +124,7 @@ def _texts(batches, size: int = 1 << 18):
         buf, at = vec.text_buffer(batch["text"])
         for i, j in vec.blocks(buf, at, size):
             yield batch, i, *hashed(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+    R.trim()
 
 
 def _frequencies(space):
@@ -258,6 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and benchmark item found in it: id, item_id, similarity (share of the item's
     words in the common subsequence), answer (the same of its last words) and the words it spans."""
     spark = docs.sparkSession
+    R.short_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
     out, block = spark.createDataFrame([], HITS), []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -25,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold fewer rows than Spark's default; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so later work has no lineage to redo."""
     shared_dir(df.sparkSession)
@@ -75,6 +83,14 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.take(pa.array(o))
 
 
+def trim() -> None:
+    """Gives a Python worker's freed memory back: workers live on between stages, and allocators keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 

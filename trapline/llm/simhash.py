@@ -73,7 +73,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, j in vec.blocks(buf, at, 1 << 18):
                 fp = fingerprints_of(buf[at[i] : at[j]], at[i : j + 1] - at[i], words)
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["th"].slice(i, j - i), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
+        R.trim()
 
+    R.short_batches(docs.sparkSession)
     t = F.col(f"`{text_col}`").cast("string")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("text")).mapInArrow(f, "id long, th long, fp long")
 

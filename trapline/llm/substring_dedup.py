@@ -55,6 +55,7 @@ def _slices(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def _send(window: int, parts: int):
     def f(table: pa.Table) -> pa.Table:
+        R.trim()
         chunk = table["chunk"][0].as_py()
         every = np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in _hashed(R.in_order(table), window))])
         u = np.unique(every)
@@ -67,6 +68,7 @@ def _send(window: int, parts: int):
 
 def _count(table: pa.Table) -> pa.Table:
     """Of the hashes of one range: which are held by two chunks or more."""
+    R.trim()
     blobs = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
     every = np.sort(np.concatenate(blobs))
     again = np.unique(every[1:][every[1:] == every[:-1]])
@@ -80,6 +82,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _cut(window: int, parts: int):
     def f(table: pa.Table, answers: pa.Table) -> pa.Table:
+        R.trim()
         table = R.in_order(table)
         seen = list(_hashed(table, window))
         every = np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in seen)])

@@ -130,6 +130,7 @@ class Chunk:
 
 def _entries(length: int, parts: int):
     def f(table: pa.Table) -> pa.Table:
+        R.trim()
         c = Chunk(table, length, parts)
         base = int(c.least.min()) if len(c.least) else 0
         with np.errstate(over="ignore"):
@@ -145,6 +146,7 @@ def _entries(length: int, parts: int):
 
 def _resolve(table: pa.Table) -> pa.Table:
     """Entries of one range of anchors: who comes first, and which anchors have several runs."""
+    R.trim()
     a = [np.frombuffer(x, np.uint32) for x in table["a"].to_pylist()]
     n = [len(x) for x in a]
     key = np.concatenate(a).astype(np.uint64) << np.uint64(32) | np.concatenate([np.frombuffer(x, np.uint32) for x in table["s"].to_pylist()])
@@ -262,6 +264,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[n
 
 def _shards(length: int, parts: int):
     def f(table: pa.Table, answers: pa.Table) -> pa.Table:
+        R.trim()
         c = Chunk(table, length, parts)
         e = np.flatnonzero(c.answered(answers, "send"))
         raw = c.buf.tobytes()
@@ -286,6 +289,7 @@ def _shards(length: int, parts: int):
 
 def _merge(length: int):
     def f(table: pa.Table) -> pa.Table:
+        R.trim()
         table = table.sort_by("chunk")
         shards = [(np.frombuffer(x, np.uint8), np.frombuffer(y, np.int64)) for x, y in zip(table["bwt"].to_pylist(), table["ids"].to_pylist(), strict=True)]
         return pa.table([table["part"], table["chunk"], table["less"], table["entry"], pa.array([x.tobytes() for x in repeated(shards, length)], pa.binary())], ["part", "chunk", "less", "entry", "gone"])
@@ -295,6 +299,7 @@ def _merge(length: int):
 
 def _cut(length: int, parts: int, characters: bool):
     def f(table: pa.Table, answers: pa.Table) -> pa.Table:
+        R.trim()
         c = Chunk(table, length, parts)
         less = c.answered(answers, "less")
         some = np.zeros(len(c.first), np.uint64)

@@ -88,6 +88,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Encodes the documents, writes `path`/data and `path`/index, and returns the index.
     tokenizer: a file of the tokenizers library (byte-level BPE, up to 65,536 ids) that every
     executor has. shard_bytes: input bytes for one shard."""
+    R.short_batches(docs.sparkSession)
     vocabulary = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def f(batches):
@@ -99,6 +100,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 ids, counts = enc.encode(buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 upto = np.concatenate(([0], np.cumsum(counts)))
                 yield pa.RecordBatch.from_arrays([pa.array([frame(names[i + k], np.append(ids[upto[k] : upto[k + 1]], np.uint16(end_id)), 2)[:-1] for k in range(j - i)], pa.binary())], ["record"])
+        R.trim()
 
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(i.alias("id"), t.alias("text"), F.xxhash64(t).alias("th"))

@@ -35,6 +35,8 @@ ORDER = 6
 DISCOUNT = 0.75
 SPAN = 16
 MODEL_ROWS = 1 << 20
+#: Words that a task remembers to have sent.
+SEEN = 300_000
 THRESHOLD = 0.3
 #: Marks before and after a word: bytes that UTF-8 never has.
 START, END = 0xFE, 0xFF
@@ -126,6 +128,8 @@ class Model:
 
     def score(self, mean: np.ndarray, peak: np.ndarray) -> np.ndarray:
         a, b, c = self.fit
+        if not np.isfinite(a):
+            return np.zeros(len(mean))
         return 1 / (1 + np.exp(-np.clip(a + b * mean + c * peak, -500, 500)))
 
 
@@ -160,17 +164,21 @@ def _class_counts(batches):
 
 
 def _distinct_words(batches):
+    seen: set[bytes] = set()
     for batch in batches:
         buf, at = vec.text_buffer(batch["text"])
-        seen: set[bytes] = set()
         for i, j in vec.blocks(buf, at, 1 << 20):
             b = vec.lower(buf[at[i] : at[j]])
             s, e, _ = vec.word_spans(b, at[i : j + 1] - at[i])
             _, one = np.unique(vec.slices_hash(b, s, e), return_index=True)
             raw = b.tobytes()
+            if len(seen) > SEEN:  # a word may then be sent again
+                seen = set()
             new = {raw[x:y] for x, y in zip(s[one].tolist(), e[one].tolist(), strict=True)} - seen
             seen |= new
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary())], ["word"])
+    seen.clear()
+    R.trim()
 
 
 def _continuations(wanted):
@@ -200,6 +208,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> Model:
     spark = docs.sparkSession
+    R.short_batches(spark)
     empty = np.zeros(0, np.uint64)
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).dropna().where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -259,15 +268,19 @@ def _fit(spark, model: Model, sample: DataFrame, size: dict) -> tuple[float, flo
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None, into: str = "toxicity") -> DataFrame:
     """docs' columns (or those named) with a score from 0 to 1 added; `into` must be a new name."""
+    R.short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)], F.col(f"`{text_col}`").cast("string").alias(R.fresh(docs, "scored_text")))
+    keep = docs.columns if columns is None else columns
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    text = rows.columns.index(text_col)
 
     def f(batches):
         for batch in batches:
-            mean, peak = held.value.features(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(mean, peak))], [*batch.schema.names[:-1], into])
+            mean, peak = held.value.features(batch.column(text).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(held.value.score(mean, peak))], [*batch.schema.names[: len(keep)], into])
+        R.trim()
 
-    return rows.mapInArrow(f, StructType([*rows.schema.fields[:-1], StructField(into, DoubleType())]))
+    return rows.mapInArrow(f, StructType([*rows.schema.fields[: len(keep)], StructField(into, DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
