@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, decontaminate, runtime, simhash, suffix_dedup, toxicity
+from trapline.llm import bpe, decontaminate, near_copies as copies, runtime, suffix_dedup, toxicity
 
 #: Score from which a document goes: toxic is then likelier than not.
 REJECT = 0.5
-#: Words of a shingle, and bits in which fingerprints of near copies differ at most.
-WORDS, BITS = 5, 2
+#: Words of a shingle, the shingle similarity (Jaccard) of near copies, and bits in which fingerprints of candidates differ at most.
+WORDS, SIMILAR, BITS = 5, 0.8, 7
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
-    found = simhash.near_duplicates(simhash.fingerprints(docs, words=WORDS), BITS)
+    found = copies.near_copies(docs, words=WORDS, least=SIMILAR, distance=BITS)
     return _without(docs, found.where(F.col("component").isNotNull() & ~F.col("component").eqNullSafe(F.col("id"))))
 
 
