@@ -67,6 +67,26 @@ def test_leaks(spark, no_docs):
     assert decontaminate.contaminated(no_docs, b).count() == 0 and decontaminate.contaminated(d, b.where("false")).count() == 0
 
 
+def test_a_leak_that_fills_the_corpus(spark):
+    """Words of a leaked item in over a twentieth of more than 400 cells: no weights, and all leaks found."""
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    item, usual = [f"leak{k}" for k in range(40)], say(30)
+    page = say(8) + item + say(10)
+    docs = [(i, " ".join(page)) for i in range(100)] + [(i, " ".join(say(250))) for i in range(100, 300)]
+    changed = [w if k % 10 else "other" for k, w in enumerate(item)]
+    docs += [(300, " ".join(say(100) + changed + say(90))), (301, " ".join(say(70) + usual + say(9))), (302, " ".join(item[::-1]))]
+    assert sum(-(-len(t.split()) // decontaminate.STRIDE) for _, t in docs) > 400
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(usual))], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert decontaminate.fit(d.selectExpr("doc_id as id", "text"), [(1, " ".join(item)), (2, " ".join(usual))]).plain == [0]
+    got = {(r.id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {*((i, 1) for i in range(100)), (300, 1), (301, 2)}
+    # all items by words
+    got = {(r.id, r.item_id) for r in decontaminate.contaminated(d, b.where("item_id = 1")).collect()}
+    assert got == {*((i, 1) for i in range(100)), (300, 1)}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):

@@ -7,7 +7,10 @@ one power iteration, runs distributed: a task adds up its part of A'AX for a thi
 sums the parts by blocks of words, and only the thin result (words by rank) comes to the
 driver, which orthonormalises it. Benchmark items take part as passages with the weight of
 all others together, so that every item has its direction in the latent space. Passages
-whose latent cosine with an item reaches `COSINE` are candidates. A candidate is verified on
+whose latent cosine with an item reaches `COSINE` are candidates. Items with so few weighted
+words that a match may hold none of them (at most 1 - `WEAK` of their words) are looked for by
+words instead: every passage that holds `WEAK` of an item's words, in any order, is a
+candidate, which no match can fail. A candidate is verified on
 its words: the longest common subsequence of item and passage (widened by the item's length)
 must hold `STRONG` of the item's words, or `WEAK` of them and nearly all of its answer, the
 item's last `ANSWER` words; a paraphrase that changes, drops or adds words keeps both.
@@ -81,6 +84,8 @@ class Space:
         self.idf = np.zeros(len(self.vocabulary), np.float32)
         self.right = np.zeros((len(self.vocabulary), 0), np.float32)
         self.latent = np.zeros((len(items), 0), np.float32)
+        #: Items that are looked for by words.
+        self.plain: list[int] = []
 
     def rows(self, h: np.ndarray, first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
         """Sparse TF-IDF rows of the passages of some texts: passage, word and value of each entry (unit
@@ -205,6 +210,7 @@ def fit(rows: DataFrame, items: list[tuple[int, str]]) -> Space:
     df[list(counts)] = list(counts.values())
     # words that only the smallest corpora have in a twentieth of their passages still weigh something there
     space.idf = np.where(df <= np.maximum(COMMON * cells, 20), np.log1p(cells / (1 + df)), 0).astype(np.float32)
+    space.plain = [k for k, w in enumerate(space.words) if w and np.mean(space.idf[np.searchsorted(space.vocabulary, np.array(w, np.uint64))] > 0) <= 1 - WEAK]
     rank = min(len(space.vocabulary), len(items) + OVERSAMPLE)
     if not rank:
         return space
@@ -222,6 +228,28 @@ def fit(rows: DataFrame, items: list[tuple[int, str]]) -> Space:
     return space
 
 
+def by_words(space: Space, h: np.ndarray, first: np.ndarray, width: int):
+    """Text, first word of the passage, and item, of the passages (widened by width) that hold WEAK of a plain item's words."""
+    passages = np.maximum(1, -(-np.diff(first) // STRIDE) - 1)
+    doc = np.repeat(np.arange(len(passages)), passages)
+    start = (np.arange(len(doc)) - (np.cumsum(passages) - passages)[doc]) * STRIDE
+    lo = np.maximum(first[doc], first[doc] + start - width)
+    hi = np.minimum(first[doc + 1], first[doc] + start + 2 * STRIDE + width)
+    for item in space.plain:
+        words, times = np.unique(np.array(space.words[item], np.uint64), return_counts=True)
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        own = np.flatnonzero(words[at] == h)
+        n = len(space.words[item])
+        some = np.flatnonzero((np.searchsorted(own, hi) - np.searchsorted(own, lo)) / n >= WEAK)
+        if len(some):
+            held = np.zeros(len(some), np.int64)
+            for k, most in enumerate(times):
+                where = own[at[own] == k]
+                held += np.minimum(most, np.searchsorted(where, hi[some]) - np.searchsorted(where, lo[some]))
+            for p in some[held / n >= WEAK]:
+                yield int(doc[p]), int(start[p]), item
+
+
 def _search(space):
     def f(batches):
         s = space.value
@@ -229,24 +257,31 @@ def _search(space):
         for batch, i, h, first in _texts(batches):
             row, v, value, doc, start = s.rows(h, first)
             found: dict[tuple[int, int], tuple] = {}
+
+            def verify(d, begin, item):
+                words = s.words[item]
+                if not words:
+                    return
+                lo = max(first[d], first[d] + begin - width)
+                passage = h[lo : min(first[d + 1], first[d] + begin + 2 * STRIDE + width)].tolist()
+                n, b, e = common_length(words, passage)
+                share = n / len(words)
+                if share < WEAK:
+                    return
+                tail = words[-ANSWER:]
+                answer = common_length(tail, passage)[0] / len(tail)
+                if share >= STRONG or answer >= ANSWER_SHARE:
+                    hit = (share, answer, int(lo - first[d]) + b, int(lo - first[d]) + e)
+                    found[d, item] = max(found.get((d, item), hit), hit)
+
             for a, own, block in dense(row, v, value):
                 y = block @ s.right[own]
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 for p, item in zip(*np.nonzero(y @ s.latent.T >= COSINE), strict=True):
-                    d, words = int(doc[a + p]), s.words[item]
-                    if not words:
-                        continue
-                    lo = max(first[d], first[d] + start[a + p] - width)
-                    passage = h[lo : min(first[d + 1], first[d] + start[a + p] + 2 * STRIDE + width)].tolist()
-                    n, b, e = common_length(words, passage)
-                    share = n / len(words)
-                    if share < WEAK:
-                        continue
-                    tail = words[-ANSWER:]
-                    answer = common_length(tail, passage)[0] / len(tail)
-                    if share >= STRONG or answer >= ANSWER_SHARE:
-                        hit = (share, answer, int(lo - first[d]) + b, int(lo - first[d]) + e)
-                        found[d, item] = max(found.get((d, item), hit), hit)
+                    verify(int(doc[a + p]), start[a + p], item)
+            if s.plain:
+                for d, begin, item in by_words(s, h, first, width):
+                    verify(d, begin, item)
             if found:
                 keys = sorted(found)
                 share, answer, b, e = zip(*(found[x] for x in keys), strict=True)
@@ -266,7 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def found(block):
         space = fit(rows, block)
-        return out.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(space)), HITS)) if space.right.shape[1] else out
+        return out.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(space)), HITS)) if space.right.shape[1] or space.plain else out
 
     for item in items.toLocalIterator():
         block.append((item.i, item.t))
