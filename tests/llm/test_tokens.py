@@ -93,6 +93,16 @@ def test_files(spark, docs, no_docs, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_files_of_texts_with_an_added_token(spark, tmp_path):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["page end<|endoftext|>next page", "plain", "cut <|endof", "text|> here", "<|endoftext|><|endoftext|>", "é<|endoftext|>\x85", "last<|endoftext|>", ""]
+    token_files.write(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1), str(tmp_path / "t"))
+    got = sorted((r.id, r.ids, r.start) for r in token_files.read(spark, str(tmp_path / "t")).collect())
+    want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert want[0] == [7700, 886, 50256, 19545, 2443, 2]
+    assert got == [(i, x, sum(map(len, want[:i]))) for i, x in enumerate(want)]
+
+
 def test_round_trip(docs, no_docs):
     out = bpe.round_trip(docs).collect()
     assert sorted((str(r.id), bytes(r.decoded)) for r in out) == sorted((str(r.doc_id), (r.text or "").encode()) for r in docs.collect())

@@ -11,7 +11,7 @@ texts to the library.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -100,12 +100,13 @@ class Encoder:
     """Encodes buffers of texts; pieces seen before come from a bounded cache.
 
     pieces: token ids of distinct pieces, laid end to end, and their counts.
-    text: token ids of a whole (exotic) text. slots and room bound the cache's memory.
+    text: token ids of a whole text (exotic, or holding one of `whole`). slots and room bound the cache's memory.
     Pieces count as equal if their 64-bit hashes are equal.
     """
 
-    def __init__(self, pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: Callable[[str], list[int]], slots: int = 1 << 19, room: int = 1 << 22):
+    def __init__(self, pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: Callable[[str], list[int]], slots: int = 1 << 19, room: int = 1 << 22, whole: Sequence[bytes] = ()):
         self.pieces, self.text, self.slots, self.room = pieces, text, slots, room
+        self.whole = [x for x in whole if x]
         self.clear()
 
     def clear(self) -> None:
@@ -130,6 +131,13 @@ class Encoder:
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, laid end to end, and the count of each text."""
         starts, first, exotic = split(buf, at)
+        laid = buf.tobytes() if self.whole else b""
+        for x in self.whole:
+            # two texts laid end to end may seem to hold one: the first goes whole too, with the same ids
+            k = laid.find(x)
+            while k >= 0:
+                exotic[np.searchsorted(at, k, "right") - 1] = True
+                k = laid.find(x, k + 1)
         if self.n_ids > self.room:
             self.clear()
         ends = np.append(starts[1:], len(buf))

@@ -75,13 +75,14 @@ def encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    # pieces can't show an added token: texts that hold one go whole to the library
+    added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
 
     def pieces(xs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in t.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
 
-    return Encoder(pieces, lambda text: t.encode(text, add_special_tokens=False).ids)
+    return Encoder(pieces, lambda text: t.encode(text, add_special_tokens=False).ids, whole=added)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 12 * R.MB) -> DataFrame:
