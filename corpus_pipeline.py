@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from trapline.llm import bpe, decontaminate, near_copies as copies, runtime, suffix_dedup, toxicity
 
-#: Score from which a document goes: toxic is then likelier than not.
-REJECT = 0.5
+#: Score from which a document goes: what op1 predicts toxic.
+REJECT = toxicity.THRESHOLD
 #: Words of a shingle, the shingle similarity (Jaccard) of near copies, and bits in which fingerprints of candidates differ at most.
 WORDS, SIMILAR, BITS = 5, 0.8, 7
 

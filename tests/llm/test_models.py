@@ -171,6 +171,14 @@ def test_token_count_query(spark):
     assert sorted(map(tuple, token_counts.op5_token_counts(spark, SF).select("source", "lang", "tokenizer", "docs", "tokens").collect())) == want
 
 
+def test_stage_rejects_what_op1_predicts(spark, monkeypatch):
+    assert corpus_pipeline.REJECT == toxicity.THRESHOLD
+    d = spark.createDataFrame([(i, "x") for i in range(10)], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "train", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score", lambda docs, model, into: docs.withColumn(into, F.col("doc_id") / 10))
+    assert sorted(r.doc_id for r in corpus_pipeline.toxic(spark, d, SF).collect()) == [0, 1, 2]
+
+
 def test_pipeline(spark):
     start = spark.read.parquet(f"{SF}/documents.parquet")
     d, before = start, start.count()
