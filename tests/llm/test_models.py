@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def test_toxicity(spark, no_docs):
     assert {r.toxicity for r in toxicity.score(docs.drop("toxicity"), none).collect()} == {0.0}
 
 
+def test_all_ngrams_of_the_sample(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(bytes(x).decode() for x in rng.integers(97, 123, (1300, 10)).astype(np.uint8)) for _ in range(200)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][:200]
+    docs = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    fit = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).select("doc_id").collect()}
+    buf, s, e, _ = toxicity.words_of(pa.array([t for i, t in zip(ids, texts) if i not in fit]))
+    want = np.unique(toxicity.grams(buf, s, e)[0])
+    assert len(want) > 1 << 20 and np.array_equal(model.gram, want)
+
+
 def test_leaks(spark, no_docs):
     rng = random.Random(5)
     say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]

@@ -11,7 +11,7 @@ haven't counted turns these into a score from 0 to 1.
 
 Labels are learnt from a sample of at most `per_class` labelled texts a class, chosen by a
 hash of the id; the sums behind the shared counts cover every text. The model that is sent to
-the executors has at most `MODEL_ROWS` n-grams. Labels, language, source and ids are never
+the executors has all n-grams of the sampled texts. Labels, language, source and ids are never
 inputs of a score.
 
 Defined cases: a null or empty text has no words and gets the score of two zero ratios; a
@@ -34,7 +34,6 @@ from . import vec
 ORDER = 6
 DISCOUNT = 0.75
 SPAN = 16
-MODEL_ROWS = 1 << 20
 #: Words that a task remembers to have sent.
 SEEN = 300_000
 THRESHOLD = 0.3
@@ -218,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.where("toxic = 1").orderBy("u", "id").limit(per_class).unionByName(known.where("toxic = 0").orderBy("u", "id").limit(per_class))
     sample = R.cut(text.join(F.broadcast(R.cut(sample)), "id").withColumn("fit", F.pmod(F.col("u"), F.lit(4)) == 3))
     counted = sample.where("not fit").mapInArrow(_class_counts, "gram long, toxic int, n long").groupBy("gram").pivot("toxic", [0, 1]).sum("n").fillna(0)
-    rows = counted.select("gram", F.col("0").alias("o"), F.col("1").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), "gram").limit(MODEL_ROWS).toArrow()
+    rows = counted.select("gram", F.col("0").alias("o"), F.col("1").alias("t")).toArrow()
     if not rows.num_rows or not size.get(0) or not size.get(1):
         return Model(empty, empty, empty, empty, (-np.inf, 0.0, 0.0))
     gram = rows["gram"].to_numpy().view(np.uint64)
