@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ MB = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where none is configured (tests)."""
+    """The folder all executors share. A local one is made only where none is configured and all
+    executors are threads of this process (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         sc = spark.sparkContext
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="trapline-"))
         d = sc._jsc.sc().getCheckpointDir().get()
     return d
@@ -34,9 +38,9 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, so later work has no lineage to redo."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes the rows as a table in the shared folder, so later work has no lineage to redo and the
+    planner knows its size (a checkpoint keeps the estimate of the plan that it cut)."""
+    return cut_to(df, scratch(df.sparkSession, "cut"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,12 +53,13 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Size of the input as the plan's statistics have it (file sizes: no job). Where a plan has
-    no such figure (rows from the driver, a product of estimates), the rows are measured."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if n > 1 << 50 or n < 0:
-        n = 100 * df.count()
-    return n
+    """Size of the input as the plan's statistics have it (file sizes: no job). Rows from the driver and
+    joins have a product of estimates instead; they are written down first and then measured."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if not re.search(r"\bRelation(V2)? ?\[", text) or "Join" in text:
+        plan = cut(df)._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, each: int, least: int = 1) -> int:
