@@ -100,36 +100,77 @@ class Encoder:
     """Encodes buffers of texts; pieces seen before come from a bounded cache.
 
     pieces: token ids of distinct pieces, laid end to end, and their counts.
-    text: token ids of a whole text (exotic, or holding one of `whole`). slots and room bound the cache's memory.
-    Pieces count as equal if their 64-bit hashes are equal.
+    text: token ids of a whole text (exotic, or holding one of `whole`). slots, room (ids) and held (bytes)
+    bound the cache's memory. A hash names a piece's slot in the cache; its bytes decide whether it is there.
     """
 
-    def __init__(self, pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: Callable[[str], list[int]], slots: int = 1 << 19, room: int = 1 << 22, whole: Sequence[bytes] = ()):
-        self.pieces, self.text, self.slots, self.room = pieces, text, slots, room
+    #: Bytes that one pass handles; longer texts are cut where a word ends and one space comes before the next.
+    MOST = 1 << 18
+
+    def __init__(self, pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: Callable[[str], list[int]], slots: int = 1 << 21, room: int = 1 << 22, held: int = 1 << 23, whole: Sequence[bytes] = ()):
+        self.pieces, self.text, self.slots, self.room, self.held = pieces, text, slots, room, held
         self.whole = [x for x in whole if x]
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.value = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.value = np.full(self.slots, -1, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint16), 0
-        self.off, self.n = np.zeros(1 << 14, np.int64), 0
-
-    def _add(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        for name, now, more in (("ids", self.n_ids, len(flat)), ("off", self.n + 1, len(counts))):
-            a = getattr(self, name)
-            if now + more > len(a):
-                b = np.zeros(2 * (now + more), a.dtype)
-                b[: len(a)] = a
-                setattr(self, name, b)
+        self.bytes, self.n_bytes = np.zeros(1 << 17, np.uint8), 0
+        #: Of each piece: its first id and its first byte (and the ends of the last).
+        self.off, self.at, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
+
+    def _room(self, name: str, size: int) -> None:
+        a = getattr(self, name)
+        if size > len(a):
+            b = np.zeros(2 * size, a.dtype)
+            b[: len(a)] = a
+            setattr(self, name, b)
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        flat, counts = self.pieces(pieces)
+        for name, size in (("ids", self.n_ids + len(flat)), ("bytes", self.n_bytes + sum(map(len, pieces)) + 8), ("off", self.n + len(counts) + 1), ("at", self.n + len(counts) + 1)):
+            self._room(name, size)
+        new = slice(self.n + 1, self.n + 1 + len(counts))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.off[self.n + 1 : self.n + 1 + len(counts)] = self.n_ids + np.cumsum(counts)
+        self.off[new] = self.n_ids + np.cumsum(counts)
+        self.at[new] = self.n_bytes + np.cumsum([len(x) for x in pieces])
+        self.bytes[self.n_bytes : int(self.at[self.n + len(counts)])] = np.frombuffer(b"".join(pieces), np.uint8)
         out = np.arange(self.n, self.n + len(counts), dtype=np.int32)
-        self.n += len(counts)
-        self.n_ids += len(flat)
+        self.n, self.n_ids, self.n_bytes = self.n + len(counts), self.n_ids + len(flat), int(self.at[self.n + len(counts)])
         return out
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, laid end to end, and the count of each text."""
+        parts = self._parts(buf, at)
+        found = [self._encode(buf[parts[i] : parts[j]], parts[i : j + 1] - parts[i]) for i, j in vec.blocks(buf, parts, self.MOST)]
+        if len(found) == 1 and len(parts) == len(at):
+            return found[0]
+        ids, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint16, np.int64), zip(*found) if found else ((), ())))
+        if len(parts) > len(at):
+            counts = np.bincount(np.searchsorted(at, parts[:-1], "right") - 1, weights=counts, minlength=len(at) - 1).astype(np.int64)
+        return ids, counts
+
+    def _parts(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """at, and cuts inside of texts longer than MOST."""
+        cuts = []
+        for i in np.flatnonzero(np.diff(at) > self.MOST):
+            b = buf[at[i] : at[i + 1]]
+            if any(b.tobytes().find(x) >= 0 for x in self.whole):
+                continue  # goes to the library whole
+            word = (b > 0x20) & (b < 0x7F)
+            fine = np.flatnonzero(word[:-2] & (b[1:-1] == 0x20) & word[2:]) + 1
+            k = 0
+            while k + self.MOST < len(b):
+                j = int(np.searchsorted(fine, k + self.MOST)) - 1
+                if j < 0 or fine[j] <= k:
+                    j += 1
+                if j >= len(fine):
+                    break
+                k = int(fine[j])
+                cuts.append(at[i] + k)
+        return np.sort(np.concatenate((at, np.array(cuts, np.int64)))) if cuts else at
+
+    def _encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first, exotic = split(buf, at)
         laid = buf.tobytes() if self.whole else b""
         for x in self.whole:
@@ -138,22 +179,32 @@ class Encoder:
             while k >= 0:
                 exotic[np.searchsorted(at, k, "right") - 1] = True
                 k = laid.find(x, k + 1)
-        if self.n_ids > self.room:
+        if self.n_ids > self.room or self.n_bytes > self.held:
             self.clear()
         ends = np.append(starts[1:], len(buf))
+        size, w = ends - starts, vec.eights(buf)
         h = vec.slices_hash(buf, starts, ends)
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        which = self.value[slot]
-        miss = np.flatnonzero((self.key[slot] != h) | (which < 0))
+        # a piece is in the slot that the low bits of its hash name, or else in that of higher bits
+        slots = [(x & np.uint64(self.slots - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+        which, miss = np.empty(len(h), np.int64), np.arange(len(h))
+        cache = vec.eights(self.bytes[: self.n_bytes])
+        for slot in slots:
+            known = self.value[slot[miss]]
+            held = self.at[np.maximum(known, 0)].astype(np.int64)
+            there = (known >= 0) & vec.slices_equal(w, starts[miss], size[miss], cache, held, self.at[np.maximum(known, 0) + 1] - held)
+            which[miss[there]] = known[there]
+            miss = miss[~there]
         if miss.size:
-            u, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = buf.tobytes()
-            new = self._add(*self.pieces([raw[starts[i] : ends[i]] for i in miss[one].tolist()]))
+            rep = miss[one]
+            new = self._add([raw[starts[i] : ends[i]] for i in rep.tolist()])
             which[miss] = new[back]
-            s = (u & np.uint64(self.slots - 1)).astype(np.int64)
-            self.key[s], self.value[s] = u, new
-            s = (u & np.uint64(self.slots - 1)).astype(np.int64)
-            self.value[s[self.key[s] != u]] = self.value[s[self.key[s] != u]]
+            self.value[np.where(self.value[slots[0][rep]] < 0, slots[0][rep], slots[1][rep])] = new
+            rep = rep[back]
+            other = miss[~vec.slices_equal(w, starts[miss], size[miss], w, starts[rep], size[rep])]
+            if other.size:  # another piece with the same hash
+                which[other] = self._add([raw[starts[i] : ends[i]] for i in other.tolist()])
         lens = self.off[which + 1] - self.off[which]
         end = np.cumsum(lens)
         total = int(end[-1]) if len(end) else 0

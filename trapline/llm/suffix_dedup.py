@@ -41,7 +41,9 @@ from . import vec
 #: Bytes of an anchor: long enough to be rare by chance, short enough that runs hold many strings.
 ANCHOR = 24
 #: A text longer than this is anchored in pieces.
-PIECE = 8 << 20
+PIECE = 1 << 19
+#: Strings whose anchors are looked for together.
+STRIP = 1 << 14
 LAST = np.int64(2**63 - 1)
 
 OUT = "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
@@ -59,6 +61,33 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
+def anchors(words: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Hashes of strings of ANCHOR bytes, given as three numbers of eight bytes."""
+    first, *rest = words
+    with np.errstate(over="ignore"):
+        h = first * np.uint64(0x9E3779B97F4A7C15)
+        for x, odd in zip(rest, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), strict=True):
+            h ^= h >> np.uint64(32)
+            h += x
+            h *= np.uint64(odd)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def positions(w: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Where the least anchor hash of each of n strings is, the first of equal ones. w: the bytes' `eights`.
+    Strings are taken in strips that fit in a processor's cache."""
+    out, wide = np.empty(n, np.int32), length - ANCHOR + 1
+    for a in range(0, n, STRIP):
+        b = min(n, a + STRIP)
+        m = b - a + wide - 1
+        key = anchors(tuple(w[a + k : a + k + m] for k in (0, 8, 16)))
+        key &= ~np.uint64(0xFFFFF)
+        key |= np.arange(m, dtype=np.uint64)
+        out[a:b] = (sliding_min(key, wide) & np.uint64(0xFFFFF)).astype(np.int32) + a
+    return out
+
+
 def runs(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of a block: first string, end of strings, anchor and digest. Strings are named by their start."""
     if len(b) > PIECE + length:
@@ -71,11 +100,8 @@ def runs(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     if len(b) < length:
         z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return z, z, h, h
-    at = np.arange(len(b) - ANCHOR + 1)
-    h = vec.slices_hash(b, at, at + ANCHOR)
-    key = (h & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-    pos = (sliding_min(key, length - ANCHOR + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-    n = len(pos)
+    w, n = vec.eights(b), len(b) - length + 1
+    pos = positions(w, n, length)
     ok = np.zeros(n + 1, np.int32)
     whole = np.flatnonzero(np.diff(a) >= length)
     np.add.at(ok, a[whole], 1)
@@ -88,7 +114,7 @@ def runs(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     start, end = cut[:-1], cut[1:]
     start, end = start[ok[cut[:-1]]], end[ok[cut[:-1]]]
     with np.errstate(over="ignore"):
-        anchor = vec.mix(h[pos[start]] * np.uint64(0xD1342543DE82EF95))
+        anchor = vec.mix(anchors(tuple(w[pos[start] + k] for k in (0, 8, 16))) * np.uint64(0xD1342543DE82EF95))
     return start, end, anchor, vec.slices_hash(b, start, end + length - 1)
 
 

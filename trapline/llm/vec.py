@@ -1,9 +1,7 @@
 """Vectorised byte and word kernels shared by the corpus operators.
 
 Texts of an Arrow batch are laid end to end in one uint8 buffer; every kernel is a few
-NumPy passes over it. Polynomial hashes are taken modulo 2**64 with an odd base, so a
-prefix sum gives the hash of any slice (Rabin-Karp) after one multiplication by the
-inverse power of its start.
+NumPy passes over it.
 """
 
 from __future__ import annotations
@@ -13,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled by one pass of a kernel; a longer text is a pass of its own.
 BLOCK = 2 << 20
 
@@ -23,20 +22,10 @@ _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(a, out=a)
-            _powers[k] = a
-    return _powers[0][:n], _powers[1][:n]
+#: Bits of the low 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Slices longer than this are hashed one by one.
+LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,15 +36,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes of values[starts[i]:ends[i]]; the length takes part."""
-    up, down = powers(len(values) + 1)
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For every byte, it and the seven after it as one number (zeros after the end)."""
+    pad = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray(len(buf) + 1, np.uint64, pad, strides=(1,))
+
+
+def slices_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[starts[i]:ends[i]] (bytes): eight bytes at a time are added to a state that is
+    then mixed, so that no arrangement of symbols cancels out as in a polynomial modulo 2**64."""
+    n = ends - starts
+    w = eights(buf)
     with np.errstate(over="ignore"):
-        prefix = np.empty(len(values) + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        h = n.astype(np.uint64) * BASE
+    h = mix(h ^ (w[starts] & _LOW[np.minimum(n, 8)]))
+    at, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while at.size:
+        h[at] = mix((h[at] << np.uint64(1) | h[at] >> np.uint64(63)) ^ (w[starts[at] + k] & _LOW[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def slices_equal(w: np.ndarray, starts: np.ndarray, sizes: np.ndarray, w2: np.ndarray, starts2: np.ndarray, sizes2: np.ndarray) -> np.ndarray:
+    """Which slices of one buffer hold the same bytes as those of another (w, w2: their `eights`)."""
+    ok = sizes == sizes2
+    ok &= (w[starts] ^ w2[starts2]) & _LOW[np.minimum(sizes, 8)] == 0
+    at, k = np.flatnonzero(ok & (sizes > 8)), 8
+    while at.size:
+        bad = (w[starts[at] + k] ^ w2[starts2[at] + k]) & _LOW[np.minimum(sizes[at] - k, 8)] != 0
+        ok[at[bad]] = False
+        k += 8
+        at = at[~bad & (sizes[at] > k)]
+    return ok
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +122,6 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return slices_hash(buf, starts, ends)
-
-
 def mask_of(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """True where some half-open interval covers the position."""
     return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
