@@ -28,6 +28,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import runtime as R
@@ -35,6 +36,8 @@ from . import vec
 from .pretoken import Encoder
 
 HEAD, INSIDE = struct.Struct("<QI"), struct.Struct("<BqB")
+#: Shards whose sizes are added up by one task.
+RUN = 1024
 INDEX = "file string, seq int, id long, offset long, length long, n_tokens long, start_in_file long"
 
 
@@ -85,7 +88,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(pieces, lambda text: t.encode(text, add_special_tokens=False).ids, whole=added)
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 12 * R.MB) -> DataFrame:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 6 * R.MB) -> DataFrame:
     """Encodes the documents, writes `path`/data and `path`/index, and returns the index.
     tokenizer: a file of the tokenizers library (byte-level BPE, up to 65,536 ids) that every
     executor has. shard_bytes: input bytes for one shard."""
@@ -97,7 +100,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             buf, at = vec.text_buffer(batch["text"])
             names = batch["id"].to_pylist()
-            for i, j in vec.blocks(buf, at, 1 << 20):
+            for i, j in vec.blocks(buf, at, 1 << 18):
                 ids, counts = enc.encode(buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 upto = np.concatenate(([0], np.cumsum(counts)))
                 yield pa.RecordBatch.from_arrays([pa.array([frame(names[i + k], np.append(ids[upto[k] : upto[k + 1]], np.uint16(end_id)), 2)[:-1] for k in range(j - i)], pa.binary())], ["record"])
@@ -110,16 +113,21 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     dealt.select("id", "text").mapInArrow(f, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(f"{path}/data")
     spark = docs.sparkSession
     found = R.cut_to(_files(spark, path).mapInArrow(_scan, INDEX), f"{path}/found")
-    # one row per shard: bounded by the input size over shard_bytes
-    shards = sorted(found.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
-    base = np.concatenate(([0], np.cumsum([n for _, n in shards], dtype=np.int64)))[:-1].tolist()
-    spark.createDataFrame([(f, b) for (f, _), b in zip(shards, base, strict=True)], "file string, base long").coalesce(1).write.parquet(f"{path}/shards")
+    _bases(found.groupBy("file").agg(F.sum("n_tokens").alias("n"))).coalesce(1).write.parquet(f"{path}/shards")
     bases = spark.read.parquet(f"{path}/shards")
     found.join(bases, "file").select("file", "seq", "id", "offset", "length", "n_tokens", (F.col("base") + F.col("start_in_file")).alias("start")).write.parquet(f"{path}/index")
     R.drop(spark, f"{path}/found")
     return spark.read.parquet(f"{path}/index")
 
 
+def _bases(shards: DataFrame) -> DataFrame:
+    """(file, base): the ids of all shards before each. Shards are summed by RUN files, runs one after another."""
+    run = F.floor(F.regexp_extract("file", r"part-(\d+)", 1).cast("long") / RUN)
+    numbered = shards.withColumn("run", run)
+    runs = numbered.groupBy("run").agg(F.sum("n").alias("all")).select("run", (F.sum("all").over(W.partitionBy(F.lit(0)).orderBy("run")) - F.col("all")).alias("before"))
+    return numbered.join(runs, "run").select("file", (F.col("before") + F.sum("n").over(W.partitionBy("run").orderBy("file")) - F.col("n")).alias("base"))
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
@@ -141,16 +149,23 @@ def _scan(batches):
 
 
 RECORD = "file string, seq int, id long, start_in_file long, n_tokens long, ids array<int>"
+DIGEST = "file string, seq int, id long, start_in_file long, n_tokens long, ids_crc32 long"
 
 
-def _records(rows: list[tuple]) -> pa.RecordBatch:
+def _records(rows: list[tuple], schema: str = RECORD) -> pa.RecordBatch:
     file, seq, doc_id, start, ids = zip(*rows, strict=True)
     n = [len(x) for x in ids]
-    return pa.RecordBatch.from_arrays([pa.array(file), pa.array(seq, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))], [c.split()[0] for c in RECORD.split(", ")])
+    if schema == DIGEST:
+        last = pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())
+    else:
+        last = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(file), pa.array(seq, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), last], [c.split()[0] for c in schema.split(", ")])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, id, start, n_tokens, ids) of all records: every shard is read through once, every checksum too."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(file, seq, id, start, n_tokens, ids) of all records: every shard is read through once, every checksum
+    too. digest: instead of ids, ids_crc32, the CRC-32 of the ids as little-endian 32-bit numbers."""
+    schema = DIGEST if digest else RECORD
 
     def f(batches):
         for batch in batches:
@@ -161,13 +176,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((file, seq, doc_id, start, ids))
                     seq, start, held = seq + 1, start + len(ids), held + len(ids)
                     if held > 1 << 19:
-                        yield _records(rows)
+                        yield _records(rows, schema)
                         rows, held = [], 0
                 if rows:
-                    yield _records(rows)
+                    yield _records(rows, schema)
+        R.trim()
 
-    out = _files(spark, path).mapInArrow(f, RECORD).join(spark.read.parquet(f"{path}/shards"), "file")
-    return out.select("file", "seq", "id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    out = _files(spark, path).mapInArrow(f, schema).join(spark.read.parquet(f"{path}/shards"), "file")
+    return out.select("file", "seq", "id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", schema.split(", ")[-1].split()[0])
 
 
 def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -184,13 +200,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
     return _files(spark, path).join(asked, "file").mapInArrow(f, RECORD).withColumnRenamed("start_in_file", "start")
 
 
-def _crc32(batches):
-    for batch in batches:
-        at, flat = batch["ids"].offsets.to_numpy(), batch["ids"].values.to_numpy().astype("<u4")
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
     path = R.scratch(spark, "token-files")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids").mapInArrow(_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path, digest=True).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
