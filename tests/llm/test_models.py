@@ -92,7 +92,10 @@ def test_a_leak_that_fills_the_corpus(spark):
     assert sum(-(-len(t.split()) // decontaminate.STRIDE) for _, t in docs) > 400
     b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(usual))], "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    assert decontaminate.fit(d.selectExpr("doc_id as id", "text"), [(1, " ".join(item)), (2, " ".join(usual))]).plain == [0]
+    space = decontaminate.Space([(1, " ".join(item)), (2, " ".join(usual))])
+    known = d.selectExpr("doc_id as id", "text").mapInArrow(decontaminate._known(spark.sparkContext.broadcast(space.vocabulary)), "id long, n int, here binary, words binary")
+    decontaminate.fit(known, space, 512)
+    assert space.plain() == [0]
     got = {(r.id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
     assert got == {*((i, 1) for i in range(100)), (300, 1), (301, 2)}
     # all items by words
