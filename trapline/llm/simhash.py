@@ -1,16 +1,17 @@
-"""SimHash near-dedup with a byte-position inverted index.
+"""SimHash near-dedup with a byte-position inverted index and count filtering.
 
 Every document gets a 64-bit fingerprint: bit k is set if it is set in over half of the
 XXH64 hashes of its word shingles, repeats included. Two fingerprints that differ in at most
 d bits differ in at most d of their eight bytes, so at least 8 - d positional bytes agree:
-the guaranteed minimum of the count filter. The inverted index keeps, for every choice of
-8 - d byte positions, the distinct fingerprints by those bytes; two fingerprints share a
-posting list if and only if their tally of shared positional bytes reaches the minimum, so
-pairs below it are never made (lists of single bytes would hold n / 256 fingerprints each
-and tally all of their pairs). In a list the members differ in the d free bytes only, so a
-list has at most 256**d distinct members however large a group of copies is (65,536 for
-d = 2), and its links are looked up by flipped bits and verified by Hamming distance, not
-by comparing all pairs; only a spanning forest of a list's links leaves it.
+the guaranteed minimum of the count filter. The inverted index holds distinct fingerprints
+only. Its postings are kept by half of the guaranteed positions at once (a third or half of
+the bytes, see `keys`): every pair that reaches the minimum meets in a list, and lists are
+short where single bytes would give n / 256 members each. In a list the shared positional bytes
+of every pair are tallied, pairs below the minimum are dropped and the others verified by their
+Hamming distance. Lists of more than `LIST` members aren't tallied as they are: their postings
+are dealt again by all guaranteed positions, where every pair has the minimum and a list has at
+most 256**d distinct members however large a group of copies is (65,536 for d = 2); long ones
+are looked up by flipped bits. Only a spanning forest of a list's links leaves it.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; texts with
 fewer words than a shingle hash their whole word sequence; rows repeated with one id are rows
@@ -85,13 +86,12 @@ def flips(bits: int, distance: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for d in range(1, distance + 1) for c in combinations(range(bits), d)], np.uint64)
 
 
-def list_links(members: np.ndarray, distance: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links of one posting list. free: the bit positions in which its members can differ."""
+def list_links(members: np.ndarray, distance: int, free: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links of one posting list. free: the bit positions in which its members can
+    differ, if they are few enough to be flipped."""
     m = np.unique(members)
-    if len(m) <= 64:
-        a, b = np.triu_indices(len(m), 1)
-        ok = np.bitwise_count(m[a] ^ m[b]) <= distance
-        a, b = a[ok], b[ok]
+    if free is None or len(m) <= 64:
+        a, b = tallied(m, distance)
     else:
         spread = sum(((np.uint64(1) << np.uint64(p)) * ((flips(len(free), distance) >> np.uint64(k)) & np.uint64(1)) for k, p in enumerate(free)), np.uint64(0))
         a, b = [], []
@@ -107,33 +107,77 @@ def list_links(members: np.ndarray, distance: int, free: np.ndarray) -> tuple[np
     return m[root[own]], m[own]
 
 
-def near_duplicates(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """fps (id, fp and any others) with component added: the least id that links of at most `distance` bits reach."""
-    fps = R.cut(fps)
-    choices = list(combinations(range(8), 8 - distance))
+#: Members of a list whose pairs are all tallied.
+LIST = 256
+
+
+def keys(distance: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Positions of the postings' keys, first and second: one of the first is shared by every pair that
+    differs in at most `distance` bytes, and so is one of the second, which are all choices of 8 - distance.
+    The first are unions of groups of positions: distance + 2 groups, two of which have no difference."""
+    groups = [tuple(p for p in range(8) if p * (distance + 2) // 8 == g) for g in range(distance + 2)]
+    return [tuple(sorted(a + b)) for a, b in combinations(groups, 2)], list(combinations(range(8), 8 - distance))
+
+
+def tallied(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a list that share enough positional bytes and then differ in few enough bits."""
+    a, b = np.triu_indices(len(members), 1)
+    x = members[a] ^ members[b]
+    shared = (x[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    some = shared >= 8 - distance
+    a, b, x = a[some], b[some], x[some]
+    ok = np.bitwise_count(x) <= distance
+    return a[ok], b[ok]
+
+
+def _post(fps: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     masks = [sum(0xFF << 8 * p for p in c) for c in choices]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    free = [np.array([8 * p + k for p in range(8) if p not in c for k in range(8)]) for c in choices]
+    return fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("p")).select("fp", "p.choice", "p.key")
+
+
+def links(fps: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect what links of at most `distance` bits connect. fps: distinct fingerprints (fp)."""
+    short, whole = keys(distance)
+    free = [np.array([8 * p + k for p in range(8) if p not in c for k in range(8)]) for c in whole]
+
+    def link(second: bool):
+        def f(batches):
+            for batch in batches:
+                lists = batch["members"]
+                at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+                size, which = np.diff(at), batch["choice"].to_numpy()
+                two = size == 2
+                x, y = flat[at[:-1][two]], flat[at[:-1][two] + 1]
+                shared = ((x ^ y)[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1)
+                ok = (shared >= 8 - distance) & (np.bitwise_count(x ^ y) <= distance)
+                a, b = [x[ok]], [y[ok]]
+                for k in np.flatnonzero(size > 2):
+                    p, q = list_links(flat[at[k] : at[k + 1]], distance, free[which[k]] if second else None)
+                    a.append(p)
+                    b.append(q)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)], ["a", "b"])
+
+        return f
+
+    lists = lambda posted: posted.groupBy("choice", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    posted = _post(fps, short)
+    sizes = posted.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = R.cut(sizes)
+    few, many = sizes.where(F.col("n") <= LIST).drop("n"), sizes.where(F.col("n") > LIST).drop("n")
+    found = lists(posted.join(few, ["choice", "key"], "left_semi")).mapInArrow(link(False), "a long, b long")
+    again = posted.join(many, ["choice", "key"], "left_semi").select("fp").distinct()
+    return found.unionByName(lists(_post(again, whole)).mapInArrow(link(True), "a long, b long"))
 
-    def link(batches):
-        for batch in batches:
-            lists = batch["members"]
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            size, which = np.diff(at), batch["choice"].to_numpy()
-            two = size == 2
-            x, y = flat[at[:-1][two]], flat[at[:-1][two] + 1]
-            ok = (np.bitwise_count(x ^ y) <= distance) & (x != y)
-            a, b = [x[ok]], [y[ok]]
-            for k in np.flatnonzero(size > 2):
-                p, q = list_links(flat[at[k] : at[k + 1]], distance, free[which[k]])
-                a.append(p)
-                b.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)], ["a", "b"])
 
+def near_duplicates(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """fps (id, fp and any others) with component added: the least id that links of at most `distance` bits reach."""
+    if not 0 <= distance <= 4:
+        raise ValueError("a pair has to share four positional bytes or more")
+    fps = R.cut(fps)
     groups = R.cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    posted = groups.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("p"))
-    lists = posted.groupBy("p.choice", "p.key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    linked = components(lists.select("choice", "members").mapInArrow(link, "a long, b long"))
+    spread = groups.select("fp").repartition(R.parts_for(groups, R.MB, fps.sparkSession.sparkContext.defaultParallelism), "fp")
+    linked = components(links(spread, distance))
     # only fingerprints of several rows or with links need a look-up; all others are their own component
     of = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or component is not null").withColumn("c", F.coalesce("component", "fp"))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
