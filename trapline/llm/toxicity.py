@@ -2,9 +2,10 @@
 
 Two language models over the bytes of words, one for toxic and one for ordinary text, each of
 order `ORDER` with absolute discounting. Their highest order is counted per class; every
-lower order is shared: Kneser-Ney continuation counts over the distinct words of the whole
-corpus, so what neither class has seen often backs off to the same figures and says nothing
-about the class. The log-likelihood ratio of a word is a sum over its bytes; a text is
+lower order is shared: Kneser-Ney continuation counts over the whole corpus, that is how many
+different bytes come before an n-gram (n-grams that begin a word have none before them and count
+the distinct words that they begin), so what neither class has seen often backs off to the same
+figures and says nothing about the class. The log-likelihood ratio of a word is a sum over its bytes; a text is
 described by its length-normalised ratio and by the largest length-normalised ratio of any
 `SPAN` successive words, and a two-feature logistic fit on labelled texts that the models
 haven't counted turns these into a score from 0 to 1.
@@ -180,8 +181,9 @@ def _distinct_words(batches):
     R.trim()
 
 
-def _continuations(wanted):
-    """Counts of the lower orders' n-grams over distinct words, for the contexts of the model."""
+def _extensions(wanted):
+    """N-grams of the lower orders, for the contexts of the model, with the byte before them (long: the n-gram
+    has one more byte than its order) or, if they begin a word, in how many words."""
 
     def f(batches):
         contexts = wanted.value
@@ -191,15 +193,23 @@ def _continuations(wanted):
                 a = at[i : i + 50_001]
                 g, have, _ = grams(buf[a[0] : a[-1]], a[:-1] - a[0], a[1:] - a[0])
                 for order in range(1, ORDER):
-                    x = tail(g, order)[have >= order] if order > 1 else tail(g, 1)
-                    c = contexts[order - 1]
-                    k = np.minimum(np.searchsorted(c, x >> np.uint64(8)), len(c) - 1)
-                    u, n = np.unique(x[c[k] == x >> np.uint64(8)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), order, np.int32)), pa.array(u.view(np.int64)), pa.array(n)], ["n_order", "gram", "n"])
+                    c, x = contexts[order - 1], tail(g, order) >> np.uint64(8)
+                    own = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+                    for longer in (True, False):
+                        x = tail(g, order + longer)[own & (have > order if longer else have == order)]
+                        u, n = np.unique(x, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), order, np.int32)), pa.array([longer] * len(u), pa.bool_()), pa.array(u.view(np.int64)), pa.array(n)], ["n_order", "longer", "gram", "n"])
 
     return f
 
 
+def continuations(words: DataFrame, wanted) -> DataFrame:
+    """(n_order, gram, n): continuation counts over distinct words (word)."""
+    found = words.mapInArrow(_extensions(wanted), "n_order int, longer boolean, gram long, n long").groupBy("n_order", "longer", "gram").agg(F.sum("n").alias("n"))
+    mask = F.expr("shiftleft(1L, 8 * n_order) - 1L")
+    return found.groupBy("n_order", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum(F.when(F.col("longer"), 1).otherwise(F.col("n"))).alias("n"))
+
+
 def held_out(id_col: Column) -> Column:
     """Labels of these ids are never learnt."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -225,9 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gram, toxic, ordinary = gram[o], rows["t"].to_numpy()[o].astype(float), rows["o"].to_numpy()[o].astype(float)
     wanted = spark.sparkContext.broadcast([np.unique(tail(gram, k) >> np.uint64(8)) for k in range(1, ORDER)])
     words = text.select("text").mapInArrow(_distinct_words, "word binary").distinct()
-    low = words.mapInArrow(_continuations(wanted), "n_order int, gram long, n long").groupBy("n_order", "gram").agg(F.sum("n").alias("n"))
     # bytes after a context of the model: at most 256 for each
-    low = low.toArrow()
+    low = continuations(words, wanted).toArrow()
     order, key, n = (low[c].to_numpy() for c in ("n_order", "gram", "n"))
     shared = []
     for k in range(1, ORDER):
