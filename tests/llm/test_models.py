@@ -120,7 +120,7 @@ def test_graph_recall():
     x[700:800] = x[3] + 0.05 * rng.standard_normal((100, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = Graph.build(x.astype(np.float32), Graph.order(rng.integers(0, 1 << 62, 1500).astype(np.uint64))[1])
-    r, k, _ = embedding_dedup.hits(g, x, x, 0.9, 16)
+    r, k, _, _ = embedding_dedup.hits(g, x, x, 0.9, 16)
     want = (x @ x.T >= 0.9).sum()
     assert len(r) >= 0.99 * want and (np.einsum("nd,nd->n", x[r], x[k]) >= 0.9).all()
 
@@ -131,7 +131,9 @@ def test_embeddings(spark):
     v[50:60] = v[5] * np.linspace(1, 3, 10)[:, None] + 0.05 * rng.standard_normal((10, 8))
     v[60:75] = v[7]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(200, None), (201, []), (202, [0.0] * 8), (203, [1.0, None] * 4), (204, [float("nan")] * 8), (205, [float("inf")] * 8), (206, [1.0, 0.0]), (207, [2.0, 0.0]), (None, v[7].tolist())]
-    got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2).collect()}
+    audit = []
+    got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2, audit=audit).collect()}
+    assert audit[0] == audit[1] > 0
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T >= 0.9
     twin = {7, *range(60, 75)}

@@ -2,8 +2,9 @@
 
 Equal vectors are one class first, so a group of copies is one node of whatever size. Classes
 are dealt to shards by a hash; a shard is bounded by `shard_rows` and its graph is built by
-one task. Every class then queries every shard, in blocks: a block of queries meets a
-shard's graph in one task. A beam that is full of vectors within the threshold is widened
+one task. Every class then queries every shard, in blocks: the graphs of a few shards (up to
+`HELD` bytes, or one shard) are sent to all executors and the blocks of queries are read past
+them, so neither is shuffled; a shard's rows bound its graph. A beam that is full of vectors within the threshold is widened
 for its query; a sample of the block's queries is also compared with the whole shard, and
 while its recall is below `RECALL` the beam of the whole block is doubled, at last to the
 shard itself. Cosines of all hits are verified in double precision. A task gives the number
@@ -18,6 +19,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +33,8 @@ from .hnsw import GROUND, LINKS, Graph
 
 #: First beam, queries of a block, share of true links that an audit must find, and queries it samples.
 BEAM, BLOCK, RECALL, AUDIT = 96, 4096, 0.995, 256
-
-
-def _array(blobs, kind, width: int | None = None) -> np.ndarray:
-    x = np.frombuffer(blobs, kind)
-    return x if width is None else x.reshape(-1, width)
+#: Bytes of graphs that are sent together.
+HELD = 48 << 20
 
 
 def _index(table: pa.Table) -> pa.Table:
@@ -52,19 +52,19 @@ def _index(table: pa.Table) -> pa.Table:
 INDEX = "shard int, sizes array<int>, ids binary, copies binary, unit binary, links binary"
 
 
-def _load(table: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    ids = _array(table["ids"][0].as_buffer(), np.int64)
-    unit = _array(table["unit"][0].as_buffer(), np.float64).reshape(len(ids), -1)
-    flat, sizes, layers, a = _array(table["links"][0].as_buffer(), np.int32), table["sizes"][0].as_py(), [], 0
-    for n in sizes:
+def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
+    unit = np.frombuffer(row["unit"], np.float64).reshape(len(ids), -1)
+    flat, layers, a = np.frombuffer(row["links"], np.int32), [], 0
+    for n in row["sizes"]:
         w = GROUND if n == len(ids) else LINKS
         layers.append(flat[a : a + n * w].reshape(n, w))
         a += n * w
-    return Graph(unit.astype(np.float32), layers), ids, _array(table["copies"][0].as_buffer(), np.int64), unit
+    return Graph(unit.astype(np.float32), layers), ids, copies, unit
 
 
-def hits(g: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) of cosine `threshold` or more, and the beam that the audit passed."""
+def hits(g: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, node) of cosine `threshold` or more, and of the audit that was passed: true links, and how many were found."""
     n, low = len(unit), np.float32(threshold - 1e-4)
     q32 = q.astype(np.float32)
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
@@ -82,31 +82,41 @@ def hits(g: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, beam: int)
         r, k = np.concatenate(rows), np.concatenate(nodes)
         ok = np.concatenate([np.einsum("nd,nd->n", q[r[a : a + 65536]], unit[k[a : a + 65536]]) for a in range(0, len(r), 65536)] or [np.zeros(0)]) >= threshold
         r, k = r[ok], k[ok]
-        if beam >= n:
-            return r, k, beam
         code = r.astype(np.int64) * n + k
         want = np.concatenate([s * n + t for s, t in zip(sample.tolist(), truth, strict=True)])
-        if np.isin(want, code).sum() >= RECALL * len(want):
-            return r, k, beam
+        found = int(np.isin(want, code).sum())
+        if beam >= n or found >= RECALL * len(want):
+            return r, k, len(want), found
         beam *= 2
 
 
-def _query(threshold: float):
-    def f(shard: pa.Table, block: pa.Table) -> pa.Table:
-        if not shard.num_rows or not block.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "count": pa.array([], pa.bool_())})
-        g, ids, copies, unit = _load(shard)
-        own = _array(block["ids"][0].as_buffer(), np.int64)
-        q = _array(block["unit"][0].as_buffer(), np.float64).reshape(len(own), -1)
-        r, k, _ = hits(g, unit, q, threshold, BEAM)
-        other = own[r] != ids[k]
-        r, k = r[other], k[other]
-        found = np.bincount(r, weights=copies[k], minlength=len(own)).astype(np.int64)
-        some = np.flatnonzero(found)
-        nodes, at = np.unique(np.concatenate((own[r], ids[k])), return_inverse=True)
-        root = local_roots(len(nodes), at[: len(r)], at[len(r) :])
-        edge = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.table({"a": pa.array(np.concatenate((own[some], nodes[edge]))), "b": pa.array(np.concatenate((found[some], nodes[root[edge]]))), "count": pa.array(np.arange(len(some) + len(edge)) < len(some))})
+#: Rows of what a block finds: links of a class (count), edges of the forest, and the audit (true links, found).
+COUNT, EDGE, AUDITED = range(3)
+FOUND = "a long, b long, kind int"
+
+
+def _query(sent, threshold: float):
+    def f(batches):
+        shards = [_load(x) for x in sent.value]
+        for batch in batches:
+            for ids, unit in zip(batch["ids"], batch["unit"], strict=True):
+                own = np.frombuffer(ids.as_buffer(), np.int64)
+                q = np.frombuffer(unit.as_buffer(), np.float64).reshape(len(own), -1)
+                links, ends, want, right = np.zeros(len(own)), [], 0, 0
+                for g, nodes, copies, x in shards:
+                    r, k, w, found = hits(g, x, q, threshold, BEAM)
+                    want, right = want + w, right + found
+                    other = own[r] != nodes[k]
+                    r, k = r[other], k[other]
+                    links += np.bincount(r, weights=copies[k], minlength=len(own))
+                    ends.append((own[r], nodes[k]))
+                a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+                nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+                root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+                edge, some = np.flatnonzero(root != np.arange(len(nodes))), np.flatnonzero(links)
+                kind = np.repeat(np.array([COUNT, EDGE, AUDITED], np.int32), [len(some), len(edge), 1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate((own[some], nodes[edge], [want])), np.concatenate((links[some].astype(np.int64), nodes[root[edge]], [right])), kind)], ["a", "b", "kind"])
+        R.trim()
 
     return f
 
@@ -117,8 +127,9 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"].slice(0, 1), "ids": pa.array([table["cid"].to_numpy().tobytes()]), "unit": pa.array([unit.tobytes()])})
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shard_rows: int = 65_536, least_shards: int = 8) -> DataFrame:
-    """Per vector: id, n_links (other vectors of cosine `threshold` or more) and component (least id reachable)."""
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shard_rows: int = 65_536, least_shards: int = 8, audit: list | None = None) -> DataFrame:
+    """Per vector: id, n_links (other vectors of cosine `threshold` or more) and component (least id reachable).
+    audit: gets the true links that the audits looked for and how many of them the graphs had found."""
     e = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x + F.lit(0.0))
     base = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), e.alias("e"))
     fine = F.coalesce((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
@@ -130,8 +141,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         found = found_here if found is None else found.unionByName(found_here)
     if found is None:
         return base.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    linked = components(found.where("not count").select("a", "b"))
-    counts = found.where("count").groupBy("a").agg(F.sum("b").alias("links"))
+    if audit is not None:
+        audit += found.where(F.col("kind") == AUDITED).agg(F.sum("a"), F.sum("b")).first()
+    linked = components(found.where(F.col("kind") == EDGE).select("a", "b"))
+    counts = found.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("links"))
     of = R.cut(classes.drop("e").join(counts.withColumnRenamed("a", "cid"), "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 or links is not null or component is not null").withColumn("c", F.coalesce("component", "cid")))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
     known = of.join(least, "c").select("cid", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
@@ -140,16 +153,24 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def _links(classes: DataFrame, threshold: float, shard_rows: int, least_shards: int) -> DataFrame:
-    """(a, b, count): links of a class that one shard holds (count), or an edge of the forest."""
-    n = classes.count()
+    """What the queries of all classes find in all shards (FOUND)."""
+    sc, n = classes.sparkSession.sparkContext, classes.count()
     shards, blocks = max(least_shards, -(-n // shard_rows)), max(1, -(-n // BLOCK))
     dealt = classes.select("cid", "n", "e", F.pmod(F.hash("cid"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
-    index = R.cut(dealt.select("shard", "cid", "n", "e").groupBy("shard").applyInArrow(_index, INDEX))
-    queries = R.cut(dealt.select("block", "cid", "e").groupBy("block").applyInArrow(_pack, "block int, ids binary, unit binary"))
-    # every block of queries meets every shard: one row for each on either side
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return R.cut(left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_query(threshold), "a long, b long, count boolean"))
+    index = R.cut(dealt.select("shard", "cid", "n", "e").repartition(shards, "shard").groupBy("shard").applyInArrow(_index, INDEX))
+    # a file for a block: tasks then get as many blocks each
+    queries = R.cut(dealt.select("block", "cid", "e").repartition(blocks, "block").groupBy("block").applyInArrow(_pack, "block int, ids binary, unit binary"))
+    size = index.select("shard", (F.octet_length("unit") + F.octet_length("links") + 2 * F.octet_length("ids")).cast("long").alias("size")).orderBy("shard").collect()
+    groups: dict[int, list[int]] = {}
+    for x, upto in zip(size, accumulate(x.size for x in size), strict=True):
+        groups.setdefault(upto // HELD, []).append(x.shard)
+    found = None
+    for own in groups.values():
+        sent = sc.broadcast([{c: bytes(v) if isinstance(v, bytearray) else v for c, v in x.asDict().items()} for x in index.where(F.col("shard").isin(own)).collect()])
+        now = R.cut(queries.mapInArrow(_query(sent, threshold), FOUND))
+        sent.unpersist()
+        found = now if found is None else found.unionByName(now)
+    return found
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
