@@ -154,6 +154,24 @@ def test_shards(spark, docs, no_docs):
     assert sharding.balanced_shards(no_docs).count() == 0
 
 
+def test_cut_links_fall(spark, docs):
+    """Copies, and then given links: what the result cuts is counted by brute force and below a deal by hash."""
+    report = []
+    out = sharding.balanced_shards(docs, report=report).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.text_crc32, []).append(r.shard)
+    cut = sum(a != b for v in by.values() for k, a in enumerate(v) for b in v[:k])
+    assert report[1] == cut < report[0]
+    rng = random.Random(9)
+    links = [(10 * g + rng.randrange(10), 10 * g + rng.randrange(10)) for g in range(40) for _ in range(20)] + [(5, 5), (7, 70000), (None, 3)]
+    d, report = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string"), []
+    out = sharding.balanced_shards(d, links=spark.createDataFrame(links, "a long, b long"), report=report, rounds=8).collect()
+    at, pairs = {r.id: r.shard for r in out}, {(min(x), max(x)) for x in links if None not in x and x[0] != x[1] and max(x) < 400}
+    assert sorted(list(at.values()).count(s) for s in range(8)) == [50] * 8
+    assert report[1] == sum(at[a] != at[b] for a, b in pairs) < 0.6 * report[0]
+
+
 def test_a_group_larger_than_a_shard(spark):
     d = spark.createDataFrame([(i, "same" if i < 60 else f"own {i}") for i in range(120)], "doc_id long, text string")
     out = sharding.balanced_shards(d).collect()
@@ -182,6 +200,18 @@ def test_token_counts(spark, docs, tmp_path):
         r.commit("a+b", counts)
 
 
+def test_snapshots_of_many_batches(spark, tmp_path):
+    """A snapshot holds any number of batches, and snapshots are folded too."""
+    r = token_counts.Rollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("s", "en", 3)], "source string, lang string, n long")
+    for k in range(6):
+        r.commit(f"{'long-name-' * 15}{k}", token_counts.inserts(one, "v", "n"))
+        if k % 2:
+            r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 6, 18)]
+    assert not r.commit(f"{'long-name-' * 15}0", token_counts.inserts(one, "v", "n")) and len(list((tmp_path / "r").glob("[a-z]*"))) == 2
+
+
 def test_token_count_query(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -6,7 +6,9 @@ revision takes the old count away and adds the new one, under whichever key each
 batch of signed changes is reduced to one row per key and written as one table named after
 the batch; Spark publishes it whole (its _SUCCESS file) or not at all. A batch that is
 there is not applied again, so a retry after a lost driver or executor changes nothing.
-`compact` folds batches into a snapshot and keeps their names.
+`compact` folds batches into a snapshot and writes their names to a table beside it, first the
+names, then the totals. One writer at a time: two that commit the same batch together overwrite
+each other's table with the same rows, two that compact together need a lock of their own.
 
 Native: DataFrame expressions only. Sums combine before the shuffle, so a hot source costs
 one row per task.
@@ -64,9 +66,9 @@ class Rollup:
         out = {}
         root = self._Path(self.path)
         for s in self._fs.listStatus(root) if self._fs.exists(root) else []:
-            name = s.getPath().getName()
-            if self._fs.exists(self._Path(f"{self.path}/{name}/_SUCCESS")):
-                out[name] = set(name.partition("=")[2].split("+"))
+            kind, _, name = s.getPath().getName().partition("=")
+            if kind != "names" and self._fs.exists(self._Path(f"{self.path}/{kind}={name}/_SUCCESS")):
+                out[f"{kind}={name}"] = {name} if kind == "batch" else {x.batch for x in self.spark.read.parquet(f"{self.path}/names={name}").collect()}
         return out
 
     def _live(self) -> tuple[list[str], set[str]]:
@@ -86,17 +88,19 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         names, _ = self._live()
-        every = self.spark.createDataFrame([], SCHEMA)
-        for n in names:
-            every = every.unionByName(self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{n}"))
+        every = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], SCHEMA)
         return every.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
         names, held = self._live()
         if len(names) > 1:
-            self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshot={'+'.join(sorted(held))}")
-            for n in names:
-                R.drop(self.spark, f"{self.path}/{n}")
+            n = 1 + max([-1, *(int(x.partition("=")[2]) for x in self._published() if x.startswith("snapshot="))])
+            self.spark.createDataFrame([(x,) for x in sorted(held)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names={n}")
+            self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshot={n}")
+            for x in names:
+                R.drop(self.spark, f"{self.path}/{x}")
+                if x.startswith("snapshot="):
+                    R.drop(self.spark, f"{self.path}/{x.replace('snapshot', 'names')}")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
