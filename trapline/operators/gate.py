@@ -47,7 +47,9 @@ def gate(df: DataFrame, m: Machine, start_implies_stay: bool = False) -> DataFra
     scores as columns; the scan computes those that depend on order."""
     how = plan_gate(m, start_implies_stay)
     if how == "scan":
-        out = df.join(scan.run(df, m).select("video_id", "i", "recording", "started"), ["video_id", "i"])
+        made = {c.split()[0] for c in scan.OUT.split(", ")}
+        carry = tuple(c for c in df.columns if c not in made)
+        out = scan.run(df, m, carry).select("video_id", "i", *carry, "recording", "started")
     else:
         out = (window_gate if how == "window" else islands_gate)(df, m)
         out = out.withColumn("started", F.col("recording") & ~F.coalesce(F.lag("recording").over(video()), F.lit(False)))

@@ -78,7 +78,7 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return labels, stats
 
 
-def _largest(stats: np.ndarray, least: int, most: int) -> np.ndarray:
+def largest(stats: np.ndarray, least: int, most: int) -> np.ndarray:
     """Components of `least` pixels or more, the `most` largest (the lower label first on a tie)."""
     own = np.flatnonzero(stats[:, 0] >= least) if least > 0 else np.arange(len(stats))
     own = own[np.argsort(-stats[own, 0], kind="stable")]
@@ -89,7 +89,7 @@ def filtered(mask: np.ndarray, least: int, most: int) -> np.ndarray:
     if least <= 0 and most <= 0:
         return mask
     labels, stats = components(mask)
-    return np.isin(labels, _largest(stats, least, most) + 1) & mask
+    return np.isin(labels, largest(stats, least, most) + 1) & mask
 
 
 def boxes(mask: np.ndarray, least: int, most: int, grow: float, pad: int) -> list[tuple[int, int, int, int]]:
@@ -97,7 +97,7 @@ def boxes(mask: np.ndarray, least: int, most: int, grow: float, pad: int) -> lis
     h, w = mask.shape
     _, stats = components(mask)
     out = []
-    for _, x, y, bw, bh in stats[_largest(stats, least, most)].tolist():
+    for _, x, y, bw, bh in stats[largest(stats, least, most)].tolist():
         cx, cy, dx, dy = x + 0.5 * bw, y + 0.5 * bh, 0.5 * bw * grow, 0.5 * bh * grow
         a, b = min(w - 1, max(0, round(cx - dx) - pad)), min(h - 1, max(0, round(cy - dy) - pad))
         c, d = min(w, max(0, round(cx + dx) + pad)), min(h, max(0, round(cy + dy) + pad))

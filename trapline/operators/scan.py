@@ -140,8 +140,9 @@ class State:
         return keep, reason, keep and not was_recording and m.gate.enabled, self.p, ran, motion, state, self.ema, raw, energy, presence, stay, self.armed, self.since, night, guarded
 
 
-def run(df: DataFrame, machine: Machine) -> DataFrame:
-    """df (video_id, i, fg_pixels, fg_ratio, cnn_p, luma, moved boolean or mask binary) with the machine's columns (OUT)."""
+def run(df: DataFrame, machine: Machine, carry: tuple[str, ...] = ()) -> DataFrame:
+    """df (video_id, i, fg_pixels, fg_ratio, cnn_p, luma, moved boolean or mask binary) with the machine's columns (OUT),
+    and the columns to carry along as they are."""
     masked = "mask" in df.columns
     cols = ["video_id", "i", "fg_pixels", "fg_ratio", "cnn_p", "luma", "mask" if masked else "moved"]
     names = [c.split()[0] for c in OUT.split(", ")]
@@ -156,9 +157,10 @@ def run(df: DataFrame, machine: Machine) -> DataFrame:
                 mask = np.unpackbits(np.frombuffer(moved, np.uint8)).astype(bool) if masked else np.array([bool(moved)])
                 out.append((v, i, *state.step(i, pixels, ratio, p or 0.0, luma or 0.0, mask)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*out, strict=True)), *(batch[c] for c in carry)], [*names, *carry])
 
-    return df.select(*cols).repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(scan, OUT)
+    schema = ", ".join([OUT, *(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)])
+    return df.select(*dict.fromkeys((*cols, *carry))).repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(scan, schema)
 
 
 def backfilled(df: DataFrame, machine: Machine) -> DataFrame:

@@ -183,7 +183,7 @@ def pred_segments(spark, sf_dir):
 
 def _scanned(spark, sf_dir, m: Machine) -> DataFrame:
     f = fixture.frames(spark, sf_dir)
-    return scan.backfilled(scan.run(f, m), m).join(f.select("video_id", "i", "gt"), ["video_id", "i"])
+    return scan.backfilled(scan.run(f, m, ("gt", "fg_ratio")), m)
 
 
 @query(scan_sql(HYBRID) + "SELECT video_id, i, rec AS recording, reason, backfill, decision FROM t")
@@ -300,11 +300,16 @@ def legacy_summary(spark, sf_dir):
     return metrics.legacy_summary(log).drop("Avg_FPS")
 
 
+def _events_of(sql: str) -> str:
+    """The frames' SQL with its best event matches as b; names that both use are set apart."""
+    return sql.replace("b AS (SELECT *,", "bf AS (SELECT *,").replace("FROM b JOIN f", "FROM bf b JOIN f") + _EVENTS_SQL
+
+
 VARIANTS = {"symmetric": SYMMETRIC, "asymmetric": ISLANDS, "strict": SCANNED}
 
 
 def sweep(spark, sf_dir) -> DataFrame:
-    """All variants over all videos: one scan of the frames, a union of the variants' summaries, missing columns filled."""
+    """All variants over all videos: a union of the variants' summaries, missing columns filled."""
     f = fixture.frames(spark, sf_dir)
     out = None
     for name, m in VARIANTS.items():
@@ -324,28 +329,43 @@ def variant_merge(spark, sf_dir):
     return sweep(spark, sf_dir).select("variant", "config_file", "video_id", "processed", "kept", "TP", "FP", "FN", "TN")
 
 
-@query("WITH u AS (" + _variants_sql("SELECT '{v}' AS variant, sum(CASE WHEN gt AND decision AND i >= 5 THEN 1 ELSE 0 END)::BIGINT AS TP, sum(CASE WHEN NOT gt AND decision AND i >= 5 THEN 1 ELSE 0 END)::BIGINT AS FP, sum(CASE WHEN gt AND NOT decision AND i >= 5 THEN 1 ELSE 0 END)::BIGINT AS FN, (1.0 - sum(decision::INTEGER) / count(*)::DOUBLE) * 100.0 AS sv FROM t") + f") SELECT variant, TP, FP, FN, round(sv, 6) AS \"Storage_Saved_Pct\", round(pr, 9) AS \"Precision\", round(re, 9) AS \"Recall\", round({_F1}, 9) AS \"F1_Score\" FROM (SELECT *, {_RATES} FROM u)")
+def _event_variants_sql() -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_events_of(scan_sql(m))}, em AS ({_EVENT_METRICS}), sm AS (SELECT video_id, {_SCORES} FROM t GROUP BY video_id) SELECT '{v}' AS variant, * FROM sm JOIN em USING (video_id))" for v, m in VARIANTS.items())
+
+
+_WEIGHTED = ", ".join(f"""round(CASE WHEN sum(TP + FN) > 0 THEN sum("{c}" * (TP + FN)) / sum(TP + FN) ELSE 0 END, 6) AS "{c}\"""" for c in ("Animal_Coverage", "Mean_Trigger_Delay_Sec", "Mean_Extra_Tail_Sec"))
+
+
+@query(f"WITH e AS ({_event_variants_sql()}), u AS (SELECT variant, sum(TP)::BIGINT AS TP, sum(FP)::BIGINT AS FP, sum(FN)::BIGINT AS FN, {_WEIGHTED}, (1.0 - sum(kept) / sum(processed)::DOUBLE) * 100.0 AS sv FROM e GROUP BY variant)" + f" SELECT variant, TP, FP, FN, \"Animal_Coverage\", \"Mean_Trigger_Delay_Sec\", \"Mean_Extra_Tail_Sec\", round(sv, 6) AS \"Storage_Saved_Pct\", round(pr, 9) AS \"Precision\", round(re, 9) AS \"Recall\", round({_F1}, 9) AS \"F1_Score\" FROM (SELECT *, {_RATES} FROM u)")
 def leaderboard(spark, sf_dir):
-    s = sweep(spark, sf_dir)
-    zero = F.lit(0.0)
-    out = metrics.leaderboard(s.withColumns({"Animal_Coverage": zero, "Mean_Trigger_Delay_Sec": zero, "Mean_Extra_Tail_Sec": zero}))
-    return out.select("variant", "TP", "FP", "FN", _r("Storage_Saved_Pct", 6), *[_r(c) for c in ("Precision", "Recall", "F1_Score")])
+    """All variants over all videos, with the means of their events."""
+    f, out = fixture.frames(spark, sf_dir), None
+    for name, m in VARIANTS.items():
+        g, truth, found = _event_inputs(spark, sf_dir, m)
+        one = metrics.frame_summary(g, WARMUP).join(metrics.event_metrics(truth, found, f, F.lit(FPS)), "video_id").withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    out = metrics.leaderboard(out)
+    return out.select("variant", "TP", "FP", "FN", *[_r(c, 6) for c in ("Animal_Coverage", "Mean_Trigger_Delay_Sec", "Mean_Extra_Tail_Sec", "Storage_Saved_Pct")], *[_r(c) for c in ("Precision", "Recall", "F1_Score")])
 
 
 @query(scan_sql(HYBRID) + f"SELECT video_id::VARCHAR AS video_id, i AS frame_id, gt::INTEGER AS ground_truth, round(fg_ratio, 9) AS vibe_mask_ratio, round(energy, 9) AS mhi_energy, p AS cnn_confidence, decision::INTEGER AS final_decision, {label_sql(HYBRID)} AS trigger_source FROM t")
 def detection_log(spark, sf_dir):
     """The detection log (without its wall-clock column)."""
-    f = fixture.frames(spark, sf_dir)
-    out = scan.backfilled(scan.run(f, HYBRID), HYBRID).join(f.select("video_id", "i", "gt", "fg_ratio"), ["video_id", "i"])
+    out = _scanned(spark, sf_dir, HYBRID)
     return out.select(F.col("video_id").cast("string").alias("video_id"), F.col("i").alias("frame_id"), F.col("gt").cast("int").alias("ground_truth"), _r(F.col("fg_ratio")).alias("vibe_mask_ratio"), _r(F.col("mhi_energy")).alias("mhi_energy"), F.col("p_frame").alias("cnn_confidence"), F.col("decision").cast("int").alias("final_decision"), labels.trigger_source("vibe", 0.45, F.col("backfill")).alias("trigger_source"))
 
 
-@query(scan_sql(HYBRID) + f"""SELECT video_id, processed AS total_frames, runs AS frames_processed, TP, FP, FN, round(pr, 9) AS "Precision", round(re, 9) AS "Recall", round({_F1}, 9) AS "F1_Score" FROM (SELECT *, {_RATES} FROM (SELECT video_id, count(*) FILTER (WHERE ran) AS runs, {_SCORES} FROM t GROUP BY video_id))""")
+@query(_events_of(scan_sql(HYBRID)) + f""", em AS ({_EVENT_METRICS}), sm AS (SELECT *, {_RATES} FROM (SELECT video_id, count(*) FILTER (WHERE ran) AS runs, {_SCORES} FROM t GROUP BY video_id))
+SELECT video_id::VARCHAR AS video_id, processed AS total_frames, runs AS frames_processed, TP, FP, FN, round(pr, 9) AS "Precision", round(re, 9) AS "Recall", round({_F1}, 9) AS "F1_Score", em.* EXCLUDE (video_id), round((1.0 - kept / 300.0) * 100.0, 9) AS "Storage_Saved_Pct", NULL::DOUBLE AS "Avg_FPS" FROM sm JOIN em USING (video_id)""")
 def benchmark_summary(spark, sf_dir):
+    """The summary in all its columns; the scanned frames are a part of files of 300 frames. Rows that were not
+    timed have no frames a second."""
     g = _scanned(spark, sf_dir, HYBRID)
+    truth = intervals.clipped(temporal.islands(g, F.col("gt")), F.lit(WARMUP).cast("long"), F.lit(1 << 40))
     runs = g.groupBy("video_id").agg(F.count_if("ran_cnn").alias("frames_processed"))
-    out = metrics.frame_summary(g, WARMUP).join(runs, "video_id")
-    return out.select("video_id", F.col("processed").alias("total_frames"), "frames_processed", "TP", "FP", "FN", *[_r(c) for c in ("Precision", "Recall", "F1_Score")])
+    events = metrics.event_metrics(truth, gates.segments(g), g, F.lit(FPS))
+    out = metrics.frame_summary(g, WARMUP, F.lit(300).cast("long")).join(runs, "video_id").join(events, "video_id")
+    return out.select(F.col("video_id").cast("string").alias("video_id"), F.col("processed").alias("total_frames"), "frames_processed", "TP", "FP", "FN", *[_r(c) for c in ("Precision", "Recall", "F1_Score", *events.columns[1:], "Storage_Saved_Pct")], F.lit(None).cast("double").alias("Avg_FPS"))
 
 
 # Array kernels on 8 x 8 frames
@@ -405,7 +425,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY video_id, i ORDER BY area DESC,
 
 def _top(spark, sf_dir):
     p = fixture.pixels(spark, sf_dir)
-    return regions.largest(p.select("video_id", "i", regions.components(F.transform("gray", lambda x: x >= 150), 8, 8).alias("labels")), 2, 3, 8)
+    return regions.largest(p.select("video_id", "i", F.transform("gray", lambda x: x >= 150).alias("mask")), 2, 3, 8)
 
 
 @query(_COMPONENTS + "SELECT video_id, i, rank::INTEGER AS rank, area, x::INTEGER AS x, y::INTEGER AS y, (x2 - x + 1)::INTEGER AS w, (y2 - y + 1)::INTEGER AS h FROM t")
