@@ -5,6 +5,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from trapline.config import machine_from
 from trapline.plans import evaluate
 from trapline.sources import annotations, manifest, tables
 
@@ -79,3 +80,21 @@ def test_evaluate_and_sweep(spark, tmp_path):
     tables.write_merged(merged, str(tmp_path / "merged"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 60
     assert tables.read_summary(spark, str(tmp_path / "summary")).where("total_frames = 30").count() == 2
+
+
+def test_configuration_reaches_the_pixels(spark):
+    """Colour, width, range, boxes and the mixture's own settings change what is evaluated."""
+    rng = np.random.default_rng(0)
+    shots = rng.integers(0, 40, (30, 8, 8, 3)).astype(np.uint8)
+    shots[12:20, 2:7, 2:7] = (10, 200, 250)
+    frames = spark.createDataFrame([(1, k, 8, 8, x.tobytes()) for k, x in enumerate(shots)], "video_id long, i long, height int, width int, bgr binary")
+    truth = spark.createDataFrame([(1, 12, 19)], "video_id long, s long, e long")
+    base = {"vibe": {"radius": 60}, "postprocess": {"median_blur_ksize": 1, "erode_iters": 0, "dilate_iters": 0, "min_blob_area": 2}, "mhi": {"enabled": False}, "gate": {"start_metric": "vibe_fg_pixels", "start_threshold": 3, "stay_metric": "vibe_fg_pixels", "stay_threshold": 3, "post_roll_sec": 0.0}}
+    log, summary = evaluate.evaluate(frames, truth, base, 10.0)
+    assert summary.first().TP == 8 and summary.first().FP == 0
+    part = base | {"eval": {"start_sec": 0.5, "end_sec": 1.5}, "preprocess": {"resize_width": 4}, "motion_ema_alpha": 0.7}
+    log, summary = evaluate.evaluate(frames, truth, part, 10.0)
+    assert sorted(r.frame_id for r in log.collect()) == list(range(5, 16))
+    assert summary.first().total_frames == 30 and machine_from(part, 10.0).motion_alpha == 0.7
+    mixed = {k: v for k, v in base.items() if k != "vibe"} | {"mog2": {"history": 5, "detect_shadows": False, "threshold": 127}, "gate": {"start_metric": "mog2_fg_pixels", "start_threshold": 3, "stay_metric": "mog2_fg_pixels", "stay_threshold": 3, "post_roll_sec": 0.0}}
+    assert evaluate.evaluate(frames, truth, mixed, 10.0, "mog2")[1].first().TP > 0

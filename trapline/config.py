@@ -151,9 +151,59 @@ def machine_from(config: dict, fps: float, flavour: str = "vibe") -> Machine:
     cnn = config.get("cnn") or {}
     adaptive = dict(config.get("adaptive") or {})
     adaptive["fp_guard"] = Guard(**(adaptive.get("fp_guard") or {}))
-    alpha = float((config.get("motion") or {}).get("ema_alpha") or 0.2)
+    alpha = float(config.get("motion_ema_alpha") or (config.get("motion") or {}).get("ema_alpha") or 0.2)
     return Machine(flavour, fps, Gate(**gate), Memory(**(config.get("mhi") or {})), Scorer(**{k: v for k, v in cnn.items() if k in Scorer.__dataclass_fields__}), Adaptive(**adaptive), min(1.0, max(0.0, alpha)))
 
 
 def background_from(config: dict) -> tuple[Background, Postprocess]:
     return Background(**(config.get("vibe") or {})), Postprocess(**{**(config.get("postprocess") or {}), **(config.get("components") or {})})
+
+
+@dataclass(frozen=True)
+class Mixed:
+    """Gaussian mixture background model, and from which level its mask counts."""
+
+    history: int = 500
+    var_threshold: float = 16.0
+    detect_shadows: bool = True
+    keep_shadows_as_fg: bool = False
+    learning_rate: float = -1.0
+    threshold: int = 200
+
+
+@dataclass(frozen=True)
+class Crops:
+    """What the scorer sees of a frame."""
+
+    max_crops: int = 3
+    min_crop_area: int = 160
+    expand_ratio: float = 1.35
+    pad_px: int = 4
+    input_size: int = 224
+    output: str = "auto"
+    positive_index: int = 1
+    full_frame_if_no_crops: bool = True
+
+
+def mixed_from(config: dict) -> Mixed:
+    return Mixed(**(config.get("mog2") or {}))
+
+
+def crops_from(config: dict) -> Crops:
+    cnn = config.get("cnn") or {}
+    return Crops(**{k: v for k, v in cnn.items() if k in Crops.__dataclass_fields__ and v is not None})
+
+
+@dataclass(frozen=True)
+class Range:
+    """Which part of a video is evaluated, and at which width."""
+
+    start_sec: float = 0.0
+    end_sec: float | None = None
+    warmup_sec: float = 0.0
+    resize_width: int | None = None
+
+
+def range_from(config: dict) -> Range:
+    part = {k: v for k, v in (config.get("eval") or {}).items() if k in Range.__dataclass_fields__ and v is not None}
+    return Range(**part, resize_width=(config.get("preprocess") or {}).get("resize_width"))

@@ -36,3 +36,9 @@ def normalised(bgr: np.ndarray, size: int, mean, std) -> np.ndarray:
     """RGB planes of a crop at size x size, in units of the training set."""
     rgb = scaled(bgr[..., ::-1], size, size).astype(np.float32) / 255.0
     return np.moveaxis((rgb - np.float32(mean)) / np.float32(std), -1, 0)
+
+
+def frame(raw: bytes, h: int, w: int, width: int | None = None) -> np.ndarray:
+    """A stored frame (gray, or BGR if it has three bytes a pixel) at a width."""
+    image = np.frombuffer(raw, np.uint8)
+    return resized(image.reshape((h, w, 3) if image.size == 3 * h * w and image.size else (h, w)), width)

@@ -13,23 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import Background, Postprocess
-from .kernels import masks
+from .kernels import images, masks
 from .kernels.background import Mixture, SampleBank, foreground
 
 OUT = "video_id long, i long, height int, width int, mean_luma double, fg_pixels double, fg_ratio double, min_matches int, update_period int, mask binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>"
 
 
-def _stream(frames: DataFrame, make: Callable, post: Postprocess, grow: float, pad: int, min_crop: int, max_crops: int, unfiltered: bool) -> DataFrame:
+def _stream(frames: DataFrame, make: Callable, post: Postprocess, grow: float, pad: int, min_crop: int, max_crops: int, unfiltered: bool, width: int | None) -> DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
+    stored = "bgr" if "bgr" in frames.columns else "gray"
 
     def f(batches):
         video, model = object(), None
         for batch in batches:
             out = []
-            for v, i, h, w, raw in zip(*(batch[c].to_pylist() for c in ("video_id", "i", "height", "width", "gray")), strict=True):
+            for v, i, h, w, raw in zip(*(batch[c].to_pylist() for c in ("video_id", "i", "height", "width", stored)), strict=True):
                 if v != video:
                     video, model = v, make(v)
-                gray = np.frombuffer(raw, np.uint8).reshape(h, w)
+                gray = images.gray(images.frame(raw, h, w, width))
+                h, w = gray.shape
                 mask, matches, period = model(gray)
                 clean = masks.cleaned(mask, post)
                 kept = masks.filtered(clean, post.min_blob_area, post.max_blobs)
@@ -40,11 +42,12 @@ def _stream(frames: DataFrame, make: Callable, post: Postprocess, grow: float, p
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return frames.select("video_id", "i", "height", "width", "gray").repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(f, OUT)
+    return frames.select("video_id", "i", "height", "width", stored).repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(f, OUT)
 
 
-def vibe(frames: DataFrame, background: Background, post: Postprocess, seed: int = 0, grow: float = 1.35, pad: int = 4, min_crop: int = 160, max_crops: int = 3) -> DataFrame:
-    """frames (video_id, i, height, width, gray binary) to scores and masks (OUT); boxes come from the mask before the component filter."""
+def vibe(frames: DataFrame, background: Background, post: Postprocess, seed: int = 0, grow: float = 1.35, pad: int = 4, min_crop: int = 160, max_crops: int = 3, width: int | None = None) -> DataFrame:
+    """frames (video_id, i, height, width, and gray or bgr binary) to scores and masks (OUT) at a width; boxes come
+    from the mask before the component filter."""
 
     def make(video):
         bank = SampleBank(background, seed, video)
@@ -55,14 +58,14 @@ def vibe(frames: DataFrame, background: Background, post: Postprocess, seed: int
 
         return step
 
-    return _stream(frames, make, post, grow, pad, min_crop, max_crops, True)
+    return _stream(frames, make, post, grow, pad, min_crop, max_crops, True, width)
 
 
-def mog2(frames: DataFrame, post: Postprocess, history: int = 500, var_threshold: float = 16.0, shadows: bool = True, keep_shadows: bool = False, learning_rate: float = -1.0, grow: float = 1.35, pad: int = 4, min_crop: int = 160, max_crops: int = 3) -> DataFrame:
+def mog2(frames: DataFrame, post: Postprocess, history: int = 500, var_threshold: float = 16.0, shadows: bool = True, keep_shadows: bool = False, learning_rate: float = -1.0, threshold: int = 200, grow: float = 1.35, pad: int = 4, min_crop: int = 160, max_crops: int = 3, width: int | None = None) -> DataFrame:
     """The same by a Gaussian mixture; boxes come from the filtered mask."""
 
     def make(_):
         model = Mixture(history, var_threshold, shadows, learning_rate)
-        return lambda gray: (foreground(model.apply(gray), shadows, keep_shadows), 0, 0)
+        return lambda gray: (foreground(model.apply(gray), shadows, keep_shadows, threshold), 0, 0)
 
-    return _stream(frames, make, post, grow, pad, min_crop, max_crops, False)
+    return _stream(frames, make, post, grow, pad, min_crop, max_crops, False, width)

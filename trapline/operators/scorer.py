@@ -40,16 +40,20 @@ def probability(logits: np.ndarray, head: str = "auto", positive: int = 1) -> np
     return (e / e.sum(1, keepdims=True))[:, positive]
 
 
-def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size: int = 32, mean=(0.485, 0.456, 0.406), std=(0.229, 0.224, 0.225), head: str = "sigmoid", positive: int = 1, full_frame_if_no_crops: bool = True) -> DataFrame:
-    """frames (video_id, i, height, width, gray binary, boxes) with cnn_p. The scorer is made once per task; the crops
+def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size: int = 32, mean=(0.485, 0.456, 0.406), std=(0.229, 0.224, 0.225), head: str = "sigmoid", positive: int = 1, full_frame_if_no_crops: bool = True, width: int | None = None) -> DataFrame:
+    """frames (video_id, i, height, width, gray or bgr binary, boxes at a width) with cnn_p. The scorer is made once per task; the crops
     of an Arrow batch of frames go through it together. Without boxes the whole frame counts, or 0."""
 
+    stored = "bgr" if "bgr" in frames.columns else "gray"
+
     def f(batches):
         run = make()
         for batch in batches:
             crops, owner = [], []
-            for k, (h, w, raw, found) in enumerate(zip(*(batch[c].to_pylist() for c in ("height", "width", "gray", "boxes")), strict=True)):
-                bgr = np.repeat(np.frombuffer(raw, np.uint8).reshape(h, w, 1), 3, 2)
+            for k, (h, w, raw, found) in enumerate(zip(*(batch[c].to_pylist() for c in ("height", "width", stored, "boxes")), strict=True)):
+                bgr = images.frame(raw, h, w, width)
+                bgr = bgr if bgr.ndim == 3 else np.repeat(bgr[..., None], 3, 2)
+                h, w = bgr.shape[:2]
                 at = [(max(0, b["x1"]), max(0, b["y1"]), min(w, b["x2"]), min(h, b["y2"])) for b in found or []]
                 at = [b for b in at if b[2] > b[0] and b[3] > b[1]] or ([(0, 0, w, h)] if full_frame_if_no_crops else [])
                 for x1, y1, x2, y2 in at:
@@ -60,4 +64,4 @@ def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size:
                 np.maximum.at(p, owner[a : a + 256], probability(run(np.stack(crops[a : a + 256])), head, positive))
             yield pa.RecordBatch.from_arrays([batch["video_id"], batch["i"], pa.array(p)], ["video_id", "i", "cnn_p"])
 
-    return frames.select("video_id", "i", "height", "width", "gray", "boxes").mapInArrow(f, "video_id long, i long, cnn_p double")
+    return frames.select("video_id", "i", "height", "width", stored, "boxes").mapInArrow(f, "video_id long, i long, cnn_p double")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Machine, background_from, machine_from
+from ..config import Machine, background_from, crops_from, machine_from, mixed_from, range_from
 from ..functions import labels
 from ..operators import intervals, metrics, pixels, scan, scorer, temporal
+from ..sources import tables
 
 
 def candidates(m: Machine) -> Column:
@@ -26,32 +27,42 @@ def candidates(m: Machine) -> Column:
 
 
 def evaluate(frames: DataFrame, truth: DataFrame, config: dict, fps: float, flavour: str = "vibe", make: Callable = scorer.contrast_scorer, warmup_sec: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """frames (video_id, i, height, width, gray) and truth (video_id, s, e) to the detection log and the summary."""
+    """frames (video_id, i, height, width, gray or bgr) and truth (video_id, s, e) to the detection log and the summary.
+    Storage saved is taken over all frames of a video, of which the configuration may name a range."""
     m = machine_from(config, fps, flavour)
     background, post = background_from(config)
-    px = pixels.vibe(frames, background, post) if flavour == "vibe" else pixels.mog2(frames, post)
+    part, crops = range_from(config), crops_from(config)
+    total = frames.groupBy("video_id").agg((F.max("i") + 1).alias("total"))
+    if part.start_sec or part.end_sec is not None:
+        frames = tables.frame_range(frames, F.lit(fps), part.start_sec, part.end_sec, F.lit(1 << 40))
+    see = {"grow": crops.expand_ratio, "pad": crops.pad_px, "min_crop": crops.min_crop_area, "max_crops": crops.max_crops, "width": part.resize_width}
+    if flavour == "vibe":
+        px = pixels.vibe(frames, background, post, int(config.get("rng_seed") or 0), **see)
+    else:
+        x = mixed_from(config)
+        px = pixels.mog2(frames, post, x.history, x.var_threshold, x.detect_shadows, x.keep_shadows_as_fg, x.learning_rate, x.threshold, **see)
     px = px.withColumnRenamed("mean_luma", "luma")
     if m.scorer.enabled:
         asked = frames.join(px.where(candidates(m)).select("video_id", "i", "boxes"), ["video_id", "i"])
-        px = px.join(scorer.score(asked, make), ["video_id", "i"], "left")
+        px = px.join(scorer.score(asked, make, crops.input_size, head=crops.output, positive=crops.positive_index, full_frame_if_no_crops=crops.full_frame_if_no_crops, width=part.resize_width), ["video_id", "i"], "left")
     else:
         px = px.withColumn("cnn_p", F.lit(0.0))
-    out = scan.backfilled(scan.run(px, m), m).join(px.select("video_id", "i", "fg_ratio"), ["video_id", "i"])
+    out = scan.backfilled(scan.run(px, m, ("fg_ratio",)), m).join(total, "video_id")
     out = intervals.member(out, truth)
-    warm = round((config.get("eval") or {}).get("warmup_sec", 0.0) * fps) if warmup_sec is None else round(warmup_sec * fps)
+    warm = round((part.warmup_sec if warmup_sec is None else warmup_sec) * fps)
     runs = out.groupBy("video_id").agg(F.count_if("ran_cnn").alias("frames_processed"))
     scored = intervals.clipped(truth, F.lit(warm).cast("long"), F.lit(1 << 40))
     events = metrics.event_metrics(scored, temporal.islands(out, F.col("decision")), out, F.lit(fps))
-    summary = metrics.frame_summary(out, warm).join(runs, "video_id").join(events, "video_id")
+    summary = metrics.frame_summary(out, warm, F.col("total")).join(runs, "video_id").join(events, "video_id")
     log = out.select("video_id", F.col("i").alias("frame_id"), F.col("gt").cast("int").alias("ground_truth"), F.col("fg_ratio").alias("vibe_mask_ratio"), F.col("mhi_energy" if flavour == "vibe" else "stay_score").alias("mhi_energy"), F.col("p_frame").alias("cnn_confidence"), F.col("decision").cast("int").alias("final_decision"), F.lit(0.0).alias("inference_time_ms"), labels.trigger_source(flavour, m.scorer.p_set, F.col("backfill")).alias("trigger_source"))
     return log, summary.withColumn("Avg_FPS", F.lit(None).cast("double"))
 
 
-def sweep(frames: DataFrame, truth: DataFrame, configs: dict[str, dict], fps: float) -> DataFrame:
+def sweep(frames: DataFrame, truth: DataFrame, configs: dict[str, dict], fps: float, flavour: Callable[[dict], str] = lambda c: "mog2" if "mog2" in c else "vibe") -> DataFrame:
     """Summaries of all configurations with variant and config_file first, missing columns empty."""
     out = None
     for name, config in configs.items():
-        one = evaluate(frames, truth, config, fps, "mog2" if "mog2" in config else "vibe")[1]
+        one = evaluate(frames, truth, config, fps, flavour(config))[1]
         one = one.select(F.lit(name).alias("variant"), F.lit(f"{name}.yaml").alias("config_file"), "*")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
