@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's
 rows as Parquet in the shared folder and reads them as the next one's docs. All but the last
 return the columns of docs. Documents are told apart by id and text, so null and repeated
-ids are safe: rows of one id and one text stay or go together.
+ids are safe: rows of one id and one text stay or go together. Rows without an id stay unless
+their text is toxic, leaked or a copy of a document that has one; an empty or null text is a copy
+of other empty texts; an empty table gives no rows; columns of any other name are kept as they are.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeats), ("benchmark_decontamination", benchmark_leaks), ("bpe", tokens)]
 
-#: SQL can't express the stages; tests compare run() with brute-force versions of them.
+#: SQL can't express the stages; tests/llm/test_contracts.py and test_near_copies.py compare each with a plain version.
 ORACLE_SQL = None
 
 
