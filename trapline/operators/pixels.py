@@ -19,6 +19,17 @@ from .kernels.background import Mixture, SampleBank, foreground
 OUT = "video_id long, i long, height int, width int, mean_luma double, fg_pixels double, fg_ratio double, min_matches int, update_period int, mask binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>"
 
 
+def measured(image: np.ndarray, model: Callable, post: Postprocess, grow: float, pad: int, min_crop: int, max_crops: int, unfiltered: bool) -> tuple:
+    """A frame (gray or BGR) by a video's model: OUT without keys, with the mask as an array of pixels."""
+    gray = images.gray(image)
+    mask, matches, period = model(gray)
+    clean = masks.cleaned(mask, post)
+    kept = masks.filtered(clean, post.min_blob_area, post.max_blobs)
+    found = [dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)) for b in masks.boxes(clean if unfiltered else kept, min_crop, max_crops, grow, pad)]
+    n = int(kept.sum())
+    return *gray.shape, float(gray.mean()) if gray.size else 0.0, float(n), n / max(1, gray.size), matches, period, kept, found
+
+
 def _stream(frames: DataFrame, make: Callable, post: Postprocess, grow: float, pad: int, min_crop: int, max_crops: int, unfiltered: bool, width: int | None) -> DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
     stored = "bgr" if "bgr" in frames.columns else "gray"
@@ -30,14 +41,8 @@ def _stream(frames: DataFrame, make: Callable, post: Postprocess, grow: float, p
             for v, i, h, w, raw in zip(*(batch[c].to_pylist() for c in ("video_id", "i", "height", "width", stored)), strict=True):
                 if v != video:
                     video, model = v, make(v)
-                gray = images.gray(images.frame(raw, h, w, width))
-                h, w = gray.shape
-                mask, matches, period = model(gray)
-                clean = masks.cleaned(mask, post)
-                kept = masks.filtered(clean, post.min_blob_area, post.max_blobs)
-                found = [dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)) for b in masks.boxes(clean if unfiltered else kept, min_crop, max_crops, grow, pad)]
-                n = int(kept.sum())
-                out.append((v, i, h, w, float(gray.mean()) if gray.size else 0.0, float(n), n / max(1, h * w), matches, period, np.packbits(kept).tobytes(), found))
+                *measures, kept, found = measured(images.frame(raw, h, w, width), model, post, grow, pad, min_crop, max_crops, unfiltered)
+                out.append((v, i, *measures, np.packbits(kept).tobytes(), found))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)

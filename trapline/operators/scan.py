@@ -9,7 +9,7 @@ expression gives the same result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,11 @@ class State:
         self.history[moved] = self.tau
         return float(np.count_nonzero(self.history)) / max(1, len(moved))
 
-    def wants_scorer(self, i: int, state: str, motion: bool) -> bool:
+    def wants_scorer(self, i: int, state: str, motion: bool) -> str:
+        """What the scorer is to see of a frame: `crops`, the whole `frame`, or nothing."""
         s, a = self.m.scorer, self.m.adaptive
         if not s.enabled:
-            return False
+            return ""
         full = False
         if a.enabled:
             if self.recording:
@@ -67,7 +68,9 @@ class State:
         else:
             full = self.full > 0
             run = full and i % self.full == 0
-        return run and (self.recording or motion or full or not s.start_requires_motion)
+        if not run or not (self.recording or motion or full or not s.start_requires_motion):
+            return ""
+        return "frame" if full else "crops"
 
     def gate(self, scores: dict[str, float]) -> str:
         g = self.m.gate
@@ -94,7 +97,8 @@ class State:
         self.recording = False
         return "stop" if vibe else "none"
 
-    def step(self, i: int, pixels: float, ratio: float, p: float, luma: float, mask: np.ndarray) -> tuple:
+    def step(self, i: int, pixels: float, ratio: float, p: float | Callable[[str], float], luma: float, mask: np.ndarray) -> tuple:
+        """p: the frame's score, or what gives it for `crops` or `frame` where it is wanted."""
         m, a, guard = self.m, self.m.adaptive, self.m.adaptive.fp_guard
         was_recording = self.recording
         night = a.enabled and guard.enabled and luma < guard.night_luma_threshold
@@ -114,9 +118,10 @@ class State:
         guarded = self.guard_left > 0
         if guarded:
             self.guard_left -= 1
-        ran = self.wants_scorer(i, state, motion)
+        sees = self.wants_scorer(i, state, motion)
+        ran = bool(sees)
         if ran:
-            self.p = p
+            self.p = p(sees) if callable(p) else p
         if night and ran and motion and state != "none":
             self.streak = self.streak + 1 if self.p < guard.negative_p else 0 if self.p >= m.scorer.p_set else max(0, self.streak - 1)
             if not guarded and self.streak >= guard.negative_streak_to_activate:
@@ -142,25 +147,30 @@ class State:
 
 def run(df: DataFrame, machine: Machine, carry: tuple[str, ...] = ()) -> DataFrame:
     """df (video_id, i, fg_pixels, fg_ratio, cnn_p, luma, moved boolean or mask binary) with the machine's columns (OUT),
-    and the columns to carry along as they are."""
+    and the columns to carry along as they are. cnn_p_frame, where it is there, is the score of a whole frame; height and
+    width are the size of a mask (without them, its bits to the last byte)."""
     masked = "mask" in df.columns
     cols = ["video_id", "i", "fg_pixels", "fg_ratio", "cnn_p", "luma", "mask" if masked else "moved"]
+    whole = "cnn_p_frame" if "cnn_p_frame" in df.columns else "cnn_p"
+    sized = masked and {"height", "width"} <= set(df.columns)
+    read = [*cols, whole, *(("height", "width") if sized else ())]
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = object(), None
         for batch in batches:
             out = []
-            for v, i, pixels, ratio, p, luma, moved in zip(*(batch[c].to_pylist() for c in cols), strict=True):
+            for v, i, pixels, ratio, p, luma, moved, q, *hw in zip(*(batch[c].to_pylist() for c in read), strict=True):
                 if v != video:
                     video, state = v, State(machine)
-                mask = np.unpackbits(np.frombuffer(moved, np.uint8)).astype(bool) if masked else np.array([bool(moved)])
-                out.append((v, i, *state.step(i, pixels, ratio, p or 0.0, luma or 0.0, mask)))
+                mask = np.unpackbits(np.frombuffer(moved, np.uint8), count=hw[0] * hw[1] if hw else None).astype(bool) if masked else np.array([bool(moved)])
+                score = {"crops": p or 0.0, "frame": q or 0.0}
+                out.append((v, i, *state.step(i, pixels, ratio, score.__getitem__, luma or 0.0, mask)))
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*out, strict=True)), *(batch[c] for c in carry)], [*names, *carry])
 
     schema = ", ".join([OUT, *(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)])
-    return df.select(*dict.fromkeys((*cols, *carry))).repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(scan, schema)
+    return df.select(*dict.fromkeys((*read, *carry))).repartition("video_id").sortWithinPartitions("video_id", "i").mapInArrow(scan, schema)
 
 
 def backfilled(df: DataFrame, machine: Machine) -> DataFrame:

@@ -12,6 +12,8 @@ from .kernels import images
 
 #: A scorer turns a batch of normalised crops (n, 3, size, size) into n rows of logits.
 Scorer = Callable[[np.ndarray], np.ndarray]
+#: Colour means and deviations (RGB) of the training set that published models are fitted to: fixed values.
+MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
 def contrast_scorer() -> Scorer:
@@ -40,7 +42,16 @@ def probability(logits: np.ndarray, head: str = "auto", positive: int = 1) -> np
     return (e / e.sum(1, keepdims=True))[:, positive]
 
 
-def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size: int = 32, mean=(0.485, 0.456, 0.406), std=(0.229, 0.224, 0.225), head: str = "sigmoid", positive: int = 1, full_frame_if_no_crops: bool = True, width: int | None = None) -> DataFrame:
+def crops(bgr: np.ndarray, boxes: list[dict] | None, size: int, mean, std, full_frame_if_no_crops: bool = True) -> list[np.ndarray]:
+    """Normalised crops of a frame (gray or BGR); without boxes in it the whole frame, or none."""
+    bgr = bgr if bgr.ndim == 3 else np.repeat(bgr[..., None], 3, 2)
+    h, w = bgr.shape[:2]
+    at = [(max(0, b["x1"]), max(0, b["y1"]), min(w, b["x2"]), min(h, b["y2"])) for b in boxes or []]
+    at = [b for b in at if b[2] > b[0] and b[3] > b[1]] or ([(0, 0, w, h)] if full_frame_if_no_crops else [])
+    return [images.normalised(bgr[y1:y2, x1:x2], size, mean, std) for x1, y1, x2, y2 in at]
+
+
+def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size: int = 32, mean=MEAN, std=STD, head: str = "sigmoid", positive: int = 1, full_frame_if_no_crops: bool = True, width: int | None = None) -> DataFrame:
     """frames (video_id, i, height, width, gray or bgr binary, boxes at a width) with cnn_p. The scorer is made once per task; the crops
     of an Arrow batch of frames go through it together. Without boxes the whole frame counts, or 0."""
 
@@ -49,19 +60,14 @@ def score(frames: DataFrame, make: Callable[[], Scorer] = contrast_scorer, size:
     def f(batches):
         run = make()
         for batch in batches:
-            crops, owner = [], []
+            parts, owner = [], []
             for k, (h, w, raw, found) in enumerate(zip(*(batch[c].to_pylist() for c in ("height", "width", stored, "boxes")), strict=True)):
-                bgr = images.frame(raw, h, w, width)
-                bgr = bgr if bgr.ndim == 3 else np.repeat(bgr[..., None], 3, 2)
-                h, w = bgr.shape[:2]
-                at = [(max(0, b["x1"]), max(0, b["y1"]), min(w, b["x2"]), min(h, b["y2"])) for b in found or []]
-                at = [b for b in at if b[2] > b[0] and b[3] > b[1]] or ([(0, 0, w, h)] if full_frame_if_no_crops else [])
-                for x1, y1, x2, y2 in at:
-                    crops.append(images.normalised(bgr[y1:y2, x1:x2], size, mean, std))
-                    owner.append(k)
+                some = crops(images.frame(raw, h, w, width), found, size, mean, std, full_frame_if_no_crops)
+                parts += some
+                owner += [k] * len(some)
             p = np.zeros(batch.num_rows)
-            for a in range(0, len(crops), 256):
-                np.maximum.at(p, owner[a : a + 256], probability(run(np.stack(crops[a : a + 256])), head, positive))
+            for a in range(0, len(parts), 256):
+                np.maximum.at(p, owner[a : a + 256], probability(run(np.stack(parts[a : a + 256])), head, positive))
             yield pa.RecordBatch.from_arrays([batch["video_id"], batch["i"], pa.array(p)], ["video_id", "i", "cnn_p"])
 
     return frames.select("video_id", "i", "height", "width", stored, "boxes").mapInArrow(f, "video_id long, i long, cnn_p double")

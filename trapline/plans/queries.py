@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import Adaptive, Background, Gate, Guard, Machine, Memory, Postprocess, Scorer
+from ..config import Adaptive, Background, Crops, Gate, Guard, Machine, Memory, Postprocess, Scorer
 from ..functions import labels, scalars
-from ..operators import intervals, metrics, pixels, regions, scan, scorer, temporal
+from ..operators import feedback, intervals, metrics, pixels, regions, scan, scorer, temporal
 from ..operators import gate as gates
 from ..sources import annotations, tables
 from . import fixture
@@ -470,6 +470,17 @@ def gmm_stream(spark, sf_dir):
     return pixels.mog2(_gray_frames(spark, sf_dir), SMALL, history=20, min_crop=1)
 
 
+#: A guard that holds most of the time: all frames of the fixture are night to it, all scores low.
+HARDENED = replace(ADAPTIVE, adaptive=replace(ADAPTIVE.adaptive, cnn_motion_high_fg_ratio=0.9, fp_guard=replace(GUARD, night_luma_threshold=256.0, negative_p=0.6, negative_streak_to_activate=1, hold_sec=0.4)))
+HARDENED_BANK, HARDENED_CROPS = Background(radius=30, min_matches=2, subsampling_factor=8), Crops(min_crop_area=1, pad_px=0, input_size=8, output="sigmoid")
+
+
+@query()
+def guard_feedback(spark, sf_dir):
+    """The gate whose guard hardens the background model: one ordered pass."""
+    return feedback.run(_gray_frames(spark, sf_dir), HARDENED, HARDENED_BANK, SMALL, HARDENED_CROPS)
+
+
 @query()
 def cnn_score(spark, sf_dir):
     f = _gray_frames(spark, sf_dir)
