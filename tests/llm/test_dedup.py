@@ -1,6 +1,7 @@
 """Substring, suffix and SimHash dedup against brute force on documents with all edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -83,6 +84,30 @@ def test_merged_transforms_sort_all_suffixes():
             assert {o for o in range(64) if b >> o & 1} == want
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz"])
+def test_shared_strings_of_all_lengths(spark, letters):
+    """Documents that share 24 to 60 bytes amid others; text is sent only where a side of the anchor agrees too."""
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows, common = [], {n: say(n) for n in range(24, 61)}
+    for k, n in enumerate(common):
+        rows += [(3 * k + j, f"{say(rng.randint(0, 60))}{common[n]}{say(rng.randint(0, 60))}") for j in range(3)]
+    out = suffix_dedup.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out) == cut_strings([(i, t.encode()) for i, t in rows], 50)
+
+
+def test_anchors_that_meet_by_chance_send_no_text():
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for n, sent in ((30, False), (49, None), (50, True), (70, True)):
+        common, chunks = say(n), []
+        for c in range(2):
+            chunks.append(pa.table({"chunk": pa.array([c] * 20, pa.int32()), "id": pa.array(range(20 * c, 20 * c + 20)), "th": pa.array([0] * 20), "text": [f"{say(40)}{common}{say(40)}" for _ in range(20)]}))
+        entries = pa.concat_tables([suffix_dedup._entries(50, 1)(x) for x in chunks])
+        several = sum(int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in suffix_dedup._resolve(entries)["send"].to_pylist())
+        assert sent is None or (several > 0) == sent
+
+
 def test_whole_characters_and_carried_columns(docs):
     out = suffix_dedup.remove_repeated_strings(docs, carry=["lang", "chunk"], characters=True).collect()
     assert len(out) == docs.count()

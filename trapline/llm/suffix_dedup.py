@@ -7,19 +7,20 @@ equal lie in runs with equal anchors, so all comparing happens among the runs of
 
 1. Each chunk of documents sends one entry per distinct run (anchor, digest, smallest id).
    Ranges of anchors answer whether a smaller id holds the same run (then the whole run goes
-   elsewhere than in its first document), and whether the anchor has several distinct runs.
+   elsewhere than in its first document), and whether the anchor has another distinct run that
+   may share a string: each string reaches half of its other bytes or more to one side of its
+   anchor, so runs that share one agree in a hash of that side (16 bits more a side).
 2. Only such runs send text, once for each distinct run, from its first document: each chunk
    builds the Burrows-Wheeler transform of its own runs (a shard), and the range of anchors
-   merges the shards. The interleave starts with the shards end to end; each round carries
-   every row through the last-to-first mapping of its own shard and deals it stably by its
-   symbol, which sorts the rows by one symbol more. A boundary that appears in round k means
-   a common prefix of k. Rows between boundaries below `length` are the repeated intervals;
-   no suffixes are compared or sorted again. Rows are named by walking each shard backwards
-   from its sentinels.
+   merges the shards. The interleave starts with the rows placed by eight symbols, read through
+   the last-to-first mapping of their own shard; each round doubles the symbols by which rows
+   are placed, up to `length`, as a row's place and that of the row so many symbols on give
+   its new place. Rows in one interval at last repeat each other; no suffixes are compared or
+   sorted again. Rows are named by walking each shard backwards from its sentinels.
 3. The chunk that holds the text joins the answers and cuts.
 
 Copies cost one entry per chunk, so groups of any size stay small. The text is shuffled
-once, entries are twelve bytes for about thirteen bytes of text, and only a few hundredths
+once, entries are sixteen bytes for about thirteen bytes of text, and only a few hundredths
 of the text goes to step 2. Runs count as equal if their anchors' and their own hashes agree
 (64 bits and the bits that the range fixes).
 
@@ -47,7 +48,7 @@ STRIP = 1 << 14
 LAST = np.int64(2**63 - 1)
 
 OUT = "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-ENTRY = "part int, chunk int, base long, a binary, s binary, ids binary"
+ENTRY = "part int, chunk int, base long, a binary, s binary, ids binary, left binary, right binary"
 SHARD = "part int, chunk int, less binary, entry binary, ids binary, bwt binary"
 
 
@@ -89,17 +90,17 @@ def positions(w: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 def runs(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of a block: first string, end of strings, anchor and digest. Strings are named by their start."""
+    """Runs of a block: first string, end of strings, anchor, digest and the anchor's place. Strings are named by their start."""
     if len(b) > PIECE + length:
         found = []
         for t in range(0, len(b), PIECE):
             u = min(len(b), t + PIECE + length - 1)
-            s, e, *h = runs(b[t:u], np.array([0, u - t]), length)
-            found.append((s + t, e + t, *h))
+            s, e, *h, p = runs(b[t:u], np.array([0, u - t]), length)
+            found.append((s + t, e + t, *h, p + t))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if len(b) < length:
         z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return z, z, h, h
+        return z, z, h, h, z
     w, n = vec.eights(b), len(b) - length + 1
     pos = positions(w, n, length)
     ok = np.zeros(n + 1, np.int32)
@@ -115,7 +116,7 @@ def runs(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     start, end = start[ok[cut[:-1]]], end[ok[cut[:-1]]]
     with np.errstate(over="ignore"):
         anchor = vec.mix(anchors(tuple(w[pos[start] + k] for k in (0, 8, 16))) * np.uint64(0xD1342543DE82EF95))
-    return start, end, anchor, vec.slices_hash(b, start, end + length - 1)
+    return start, end, anchor, vec.slices_hash(b, start, end + length - 1), pos[start].astype(np.int64)
 
 
 class Chunk:
@@ -127,10 +128,10 @@ class Chunk:
         self.buf, self.at = vec.text_buffer(self.table["text"])
         found = []
         for i, j in vec.blocks(self.buf, self.at, 1 << 19):
-            s, e, *h = runs(self.buf[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i], length)
-            found.append((s + self.at[i], e + self.at[i], *h))
+            s, e, *h, p = runs(self.buf[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i], length)
+            found.append((s + self.at[i], e + self.at[i], *h, p + self.at[i]))
         z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        self.start, self.end, anchor, digest = (np.concatenate(x) for x in zip((z, z, h, h), *found, strict=True))
+        self.start, self.end, anchor, digest, self.pos = (np.concatenate(x) for x in zip((z, z, h, h, z), *found, strict=True))
         self.owner = self.ids[np.searchsorted(self.at, self.start, "right") - 1]
         part = ((anchor >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         key = (anchor << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFF))
@@ -145,6 +146,19 @@ class Chunk:
         self.least = self.owner[self.first]
         self.cut = np.searchsorted(self.part, np.arange(parts + 1))
 
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of all entries: hashes of what stands left and right of the anchor, from 1; 0 where no string reaches
+        so far. Each string reaches far enough on one side, so runs that share a string share a side's hash."""
+        s, e, p = self.start[self.first], self.end[self.first], self.pos[self.first]
+        near = (self.length - ANCHOR) // 2
+        far = self.length - ANCHOR - near + 1
+        out = []
+        for on, a, b in ((p - s >= near, p - near, p), (p - e + 1 < near, p + ANCHOR, p + ANCHOR + far)):
+            h = np.zeros(len(p), np.uint16)
+            h[on] = vec.slices_hash(self.buf, a[on], b[on]) % np.uint64(0xFFFF) + np.uint64(1)
+            out.append(h)
+        return out[0], out[1]
+
     def answered(self, table: pa.Table, column: str) -> np.ndarray:
         """A flag of all entries, from the answers of the ranges."""
         out = np.zeros(len(self.first), bool)
@@ -165,13 +179,14 @@ def _entries(length: int, parts: int):
         own = np.flatnonzero(np.diff(c.cut)).tolist()
         s = [(c.cut[p], c.cut[p + 1]) for p in own]
         a, d = (c.key >> np.uint64(32)).astype(np.uint32), c.key.astype(np.uint32)
-        return pa.table([pa.array(own, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(own), pa.int32()), pa.array([base] * len(own), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in s], pa.binary()) for x in (a, d, far))], ["part", "chunk", "base", "a", "s", "ids"])
+        return pa.table([pa.array(own, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(own), pa.int32()), pa.array([base] * len(own), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in s], pa.binary()) for x in (a, d, far, *c.sides()))], ["part", "chunk", "base", "a", "s", "ids", "left", "right"])
 
     return f
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """Entries of one range of anchors: who comes first, and which anchors have several runs."""
+    """Entries of one range of anchors: who comes first, and which runs may share a string with another one
+    of their anchor, as what stands left or right of it agrees."""
     R.trim()
     a = [np.frombuffer(x, np.uint32) for x in table["a"].to_pylist()]
     n = [len(x) for x in a]
@@ -184,11 +199,21 @@ def _resolve(table: pa.Table) -> pa.Table:
     new[1:] = k[1:] != k[:-1]
     which = np.cumsum(new) - 1
     least = np.minimum.reduceat(ids[o], np.flatnonzero(new))
-    up = (k[new] >> np.uint64(32)).astype(np.uint32)
-    several = np.zeros(len(up), bool)
+    up = k[new] >> np.uint64(32)
     same = up[1:] == up[:-1]
-    several[1:] |= same
-    several[:-1] |= same
+    own = np.zeros(len(up), bool)
+    own[1:] |= same
+    own[:-1] |= same
+    own = np.flatnonzero(own)
+    several = np.zeros(len(up), bool)
+    for side in ("left", "right"):
+        h = np.concatenate([np.frombuffer(x, np.uint16) for x in table[side].to_pylist()])[o[new][own]]
+        runs_of = own[h > 0]
+        at = up[runs_of] << np.uint64(16) | h[h > 0]
+        at, runs_of = at[s := np.argsort(at)], runs_of[s]
+        same = at[1:] == at[:-1]
+        several[runs_of[1:][same]] = True
+        several[runs_of[:-1][same]] = True
     less, send = np.empty(len(k), bool), np.empty(len(k), bool)
     less[o] = ids[o] > least[which]
     send[o] = several[which]
@@ -230,30 +255,51 @@ def transform(strings: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, np.
     return before[order], group[order]
 
 
-def merge(bwts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave refinement of shard transforms. Returns the merged order of all rows (numbered shard
-    after shard), the common prefix of each row with the one before it (`length` if no less), and the
-    last-to-first mapping within shards."""
-    bwt = np.concatenate(bwts)
+def mapping(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' symbols (rows are numbered shard after shard), and the last-to-first mapping within shards."""
+    bwt, at = np.concatenate(bwts), 0
     first = np.empty(len(bwt), np.int32)
-    at = 0
     for x in bwts:
         first[at + np.argsort(x, kind="stable")] = np.arange(at, at + len(x), dtype=np.int32)
         at += len(x)
-    order, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
-    common = np.full(len(bwt), length, np.int32)
-    common[0] = 0
-    for k in range(length):
-        c = bwt[order]
-        o = np.argsort(c, kind="stable")
-        order, c, b = first[order[o]], c[o], block[o]
-        new = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        fresh = np.flatnonzero(new & (common[1:] == length)) + 1
-        common[fresh] = k
-        if not fresh.size and k > 1 and block[-1] + 1 == len(block):
-            break
-        block[1:] = np.cumsum(new, dtype=np.int32)
-    return order, common, first
+    return bwt, first
+
+
+def merge(bwt: np.ndarray, first: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave refinement of shard transforms: the rows of which `length` symbols or more are left
+    (left: how many each row has), in the merged order, and the interval of each: rows whose first `length`
+    symbols are the same. Only the transforms' mappings are read. A round places the rows by twice the
+    symbols of the round before: by their interval, then by that of the row so many symbols on."""
+    on = np.empty_like(first)  # one symbol on, then 2, 4 and so forth
+    on[first] = np.arange(len(first), dtype=np.int32)
+    symbols = np.empty(len(bwt), np.uint64)
+    symbols[first] = bwt
+    jumps, known = [on], 1
+    while known < 8:
+        symbols = symbols << np.uint64(8 * known) | symbols[jumps[-1]]
+        jumps.append(jumps[-1][jumps[-1]])
+        known *= 2
+    rows = np.flatnonzero(left >= known)
+    key = symbols[rows]
+    while True:
+        o = np.argsort(key)
+        key, rows = key[o], rows[o]
+        interval = np.zeros(len(rows), np.int32)
+        interval[1:] = np.cumsum(key[1:] != key[:-1])
+        if known >= length:
+            return rows, interval
+        place = np.zeros(len(bwt), np.int32)
+        place[rows] = interval
+        step = min(known, length - known)
+        known += step
+        rows = np.flatnonzero(left >= known)
+        far = rows
+        for k, jump in enumerate(jumps):
+            if step >> k & 1:
+                far = jump[far]
+        key = place[rows].astype(np.uint64) << np.uint64(32) | place[far].astype(np.uint64)
+        if 2 * known < length:
+            jumps.append(jumps[-1][jumps[-1]])
 
 
 def repeated(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
@@ -262,8 +308,8 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[n
     bwts = [x for x, _ in shards]
     if not sum(map(len, bwts)):
         return [np.zeros(0, np.uint64) for _ in shards]
-    order, common, first = merge(bwts, length)
-    bwt, ids = np.concatenate(bwts), np.concatenate([y for _, y in shards])
+    bwt, first = mapping(bwts)
+    ids = np.concatenate([y for _, y in shards])
     base = np.concatenate(([0], np.cumsum([len(x) for x in bwts])))[:-1]
     count = [len(y) for _, y in shards]
     own, left = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
@@ -275,9 +321,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[n
         on = bwt[row] != 0
         size[string[~on]] = t
         row, string, t = first[row[on]], string[on], t + 1
-    interval = np.cumsum(common < length) - 1
-    long = left[order] >= length
-    rows, interval = order[long], interval[long]
+    rows, interval = merge(bwt, first, left, length)
     bits = np.zeros(len(ids), np.uint64)
     if rows.size:
         new = np.ones(len(rows), bool)
