@@ -144,6 +144,29 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_rows_search_one_graph_of_leaders(spark, monkeypatch):
+    """A row visits the homes in one beam, whatever the rows; in a group with more leaders than the beam, all of them.
+    With a graph of few leaders and a narrow beam the results are those of brute force."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((900, 24))
+    v[300:600] = v[3] + 0.15 * rng.standard_normal((300, 24))
+    v[600:700] = v[:100] + 0.2 * rng.standard_normal((100, 24))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    leaders = np.r_[0:3, 300:380, 700:760]
+    g = Graph.build(u[leaders].astype(np.float32), Graph.order(np.arange(len(leaders)).astype(np.uint64))[1])
+    home, count, _ = embedding_dedup.visits(g, u.astype(np.float32), 0.9, 8)
+    assert count[700:].max() == 8 and count[300:600].min() >= 80 and ((home[300:600] >= 3) & (home[300:600] < 83)).all()
+    monkeypatch.setattr(embedding_dedup, "BEAM", 8)
+    audit = []
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    out = sorted((r.id, r.n_links, r.component) for r in embedding_dedup.near_duplicates(d, shard_rows=150, least_shards=2, audit=audit).collect())
+    want = int(near.sum()) - 900
+    assert audit[0] == want and audit[1] >= 0.995 * want
+    assert sum(n for _, n, _ in out) == audit[1] and all(n <= near[i].sum() - 1 for i, n, _ in out)
+    assert {c for i, _, c in out if 300 <= i < 600} == {3}
+
+
 def test_shards(spark, docs, no_docs):
     out = sharding.balanced_shards(docs, rounds=3).collect()
     assert len(out) == docs.count()
